@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise_bucketed
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 GRAM_BITS = 56
@@ -129,11 +129,16 @@ def _restored(lens: bytes, vocab: bytes, codes: bytes) -> tuple[np.ndarray, np.n
 
 def lm_scores(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, alpha: float = 0.4, min_count: int = 2,
-    batch_tokens: int = 1_000_000, part_tokens: int = 2_000_000,
+    batch_tokens: int = 1_000_000, part_tokens: int = 2_000_000, buckets: int | None = None,
 ) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_words, score, mean_score."""
+    """One row per row of ``docs``: doc_id, n_words, score, mean_score.
+
+    The batches are kept in ``buckets`` (by default twice the shuffle partitions, 32 at least), where
+    the answers are brought to them.
+    """
+    buckets = buckets or max(32, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     key = docs.schema[id_col].dataType.simpleString()
-    tokens = materialise(_tokens(docs, id_col, text_col, batch_tokens), "lm-tokens")
+    tokens = materialise_bucketed(_tokens(docs, id_col, text_col, batch_tokens), "lm-tokens", "batch", buckets)
     total = tokens.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     parts = max(1, -(-total // part_tokens))
     borders = np.array([(i << GRAM_BITS) // parts for i in range(parts + 1)], np.uint64)

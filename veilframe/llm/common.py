@@ -37,6 +37,14 @@ def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialise_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """As ``materialise``, in files by the hash of ``key``: grouping the table by it needs no shuffle."""
+    table = f"veilframe_{name}_{uuid.uuid4().hex}".replace("-", "_")
+    path = fresh_path(df.sparkSession, name)
+    df.write.bucketBy(buckets, key).option("path", path).format("parquet").saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
