@@ -114,7 +114,7 @@ def _bucketed(docs: DataFrame, seed: int) -> DataFrame:
 
 def select_documents(sized: DataFrame, wants: DataFrame, seed: int, times: int) -> DataFrame:
     """``sized`` (doc_id, pattern, size) with ``copies``, so that each pattern's words come near
-    ``wants`` (pattern, pattern_size, want)."""
+    ``wants`` (pattern, pattern_size, want), a row for each pattern: of bounded number, so they are broadcast."""
     rows = _bucketed(sized, seed)
     wants = wants.withColumn("base", F.expr(f"if(pattern_size = 0, 0, least(want div pattern_size, {times}))")).withColumn(
         "rest", F.expr(f"if(base >= {times}, 0, want - base * pattern_size)")
@@ -123,7 +123,7 @@ def select_documents(sized: DataFrame, wants: DataFrame, seed: int, times: int)
     run = Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = sums.withColumn("upto", F.sum("words").over(run))  # at most BUCKETS rows a pattern
     plan = materialise(
-        sums.join(wants, "pattern").select("pattern", "bucket", (F.col("upto") - F.col("words")).alias("before"), "upto", "base", "rest"),
+        sums.join(F.broadcast(wants), "pattern").select("pattern", "bucket", (F.col("upto") - F.col("words")).alias("before"), "upto", "base", "rest"),
         "mix-plan",
     )
     placed = rows.join(plan, ["pattern", "bucket"])
@@ -139,14 +139,14 @@ def select_documents(sized: DataFrame, wants: DataFrame, seed: int, times: int)
     # what the order leaves short is met by the one document whose size is nearest to it
     short = (
         chosen.groupBy("pattern").agg(F.sum(F.expr("if(inn, size, 0)")).alias("got"))
-        .join(wants, "pattern").select("pattern", (F.col("rest") - F.col("got")).alias("gap"))
+        .join(F.broadcast(wants), "pattern").select("pattern", (F.col("rest") - F.col("got")).alias("gap"))
     )
     best = (
-        chosen.where("NOT inn AND size > 0").join(short, "pattern").where("abs(gap - size) < gap")
+        chosen.where("NOT inn AND size > 0").join(F.broadcast(short), "pattern").where("abs(gap - size) < gap")
         .groupBy("pattern").agg(F.min(F.struct(F.expr("abs(gap - size)").alias("off"), "rank_key")).alias("pick"))
         .select("pattern", F.col("pick.rank_key").alias("pick_key"))
     )
-    return chosen.join(best, "pattern", "left").select(
+    return chosen.join(F.broadcast(best), "pattern", "left").select(
         "doc_id", "pattern", "size", F.expr("copies + if(NOT inn AND size > 0 AND rank_key <=> pick_key, 1, 0)").alias("copies")
     )
 
@@ -192,7 +192,7 @@ def mix(
     ]
     plan = spark.createDataFrame(rows, "pattern string, pattern_size long, want long, source_size long, target double")
     taken = select_documents(sized, plan.select("pattern", "pattern_size", "want"), seed, times)
-    return taken.join(plan.select("pattern", "source_size", "target"), "pattern").select(
+    return taken.join(F.broadcast(plan.select("pattern", "source_size", "target")), "pattern").select(
         "doc_id", F.col("pattern").alias("sources"), "size", "source_size", "target",
         (F.col("copies") * F.col("size")).cast("long").alias("taken"), F.col("copies").cast("int").alias("copies"),
     )
