@@ -20,6 +20,7 @@ with its own size.
 from __future__ import annotations
 
 import heapq
+import json
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -105,72 +106,71 @@ def route(patterns: dict[tuple[int, ...], int], quotas: list[int], layers: int =
     return {k: e[3][1] for k, e in used.items() if e[3][1]}
 
 
+def _rank_key(doc_id: Column, seed: int) -> Column:
+    """A seeded order that SQL engines share: the md5 of id and seed."""
+    return F.md5(F.concat_ws(":", doc_id.cast("string"), F.lit(str(seed))).cast("binary"))
+
+
 def _bucketed(docs: DataFrame, seed: int) -> DataFrame:
-    """A seeded order that SQL engines share: the md5 of id and seed, and its first three digits."""
-    return docs.withColumn("rank_key", F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.lit(str(seed))).cast("binary"))).withColumn(
-        "bucket", F.substring("rank_key", 1, 3)
-    )
+    return docs.withColumn("rank_key", _rank_key(F.col("doc_id"), seed)).withColumn("bucket", F.substring("rank_key", 1, 3))
+
 
+def selection_rules(rows: DataFrame, wants: DataFrame, times: int) -> DataFrame:
+    """Rules (pattern, base, cut_key, pick_key), one for each pattern, that bring the words taken of
+    ``rows`` (doc_id, pattern, size, rank_key, bucket) near ``wants`` (pattern, pattern_size, want).
 
-def select_documents(sized: DataFrame, wants: DataFrame, seed: int, times: int) -> DataFrame:
-    """``sized`` (doc_id, pattern, size) with ``copies``, so that each pattern's words come near
-    ``wants`` (pattern, pattern_size, want), a row for each pattern: of bounded number, so they are broadcast."""
-    rows = _bucketed(sized, seed)
-    wants = wants.withColumn("base", F.expr(f"if(pattern_size = 0, 0, least(want div pattern_size, {times}))")).withColumn(
-        "rest", F.expr(f"if(base >= {times}, 0, want - base * pattern_size)")
+    A document is taken ``base`` times, and once more if its key is at most ``cut_key`` or equals
+    ``pick_key``. Patterns are of bounded number, so tables with a row for each are broadcast.
+    """
+    wants = F.broadcast(
+        wants.withColumn("base", F.expr(f"if(pattern_size = 0, 0, least(want div pattern_size, {times}))"))
+        .select("pattern", "base", F.expr(f"if(base >= {times}, 0, want - base * pattern_size)").alias("rest"))
     )
     sums = rows.groupBy("pattern", "bucket").agg(F.sum("size").alias("words"))
     run = Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = sums.withColumn("upto", F.sum("words").over(run))  # at most BUCKETS rows a pattern
-    plan = materialise(
-        sums.join(F.broadcast(wants), "pattern").select("pattern", "bucket", (F.col("upto") - F.col("words")).alias("before"), "upto", "base", "rest"),
-        "mix-plan",
+    sums = sums.withColumn("upto", F.sum("words").over(run)).join(wants, "pattern")  # at most BUCKETS rows a pattern
+    # the bucket of each pattern in which the running sum passes the remainder
+    cross = sums.where("upto > rest AND upto - words <= rest").select("pattern", "bucket", (F.col("upto") - F.col("words")).alias("before"), "rest")
+    cross = materialise(cross, "mix-cross")
+    inner = Window.partitionBy("pattern").orderBy("rank_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    fine = (
+        rows.join(F.broadcast(cross), ["pattern", "bucket"]).groupBy("pattern", "before", "rest", "rank_key").agg(F.sum("size").alias("size"))
+        .withColumn("upto", F.col("before") + F.sum("size").over(inner)).where("upto <= rest")
+        .groupBy("pattern").agg(F.max("rank_key").alias("last"), F.max("upto").alias("got"))
     )
-    placed = rows.join(plan, ["pattern", "bucket"])
-    sure = placed.where("upto <= rest").select("doc_id", "pattern", "size", "rank_key", (F.col("base") + 1).alias("copies"), F.lit(True).alias("inn"))
-    edge = placed.where("upto > rest")
-    inner = Window.partitionBy("pattern", "bucket").orderBy("rank_key", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cross = edge.where("before <= rest").withColumn("cum", F.col("before") + F.sum("size").over(inner))
-    cross = cross.select(
-        "doc_id", "pattern", "size", "rank_key", F.expr("base + if(cum <= rest, 1, 0)").alias("copies"), F.expr("cum <= rest").alias("inn")
+    # the prefix of the bucket itself is above all keys before it and below all keys in it
+    cuts = materialise(
+        cross.join(F.broadcast(fine), "pattern", "left").select(
+            "pattern", F.coalesce("last", "bucket").alias("cut_key"), (F.col("rest") - F.coalesce("got", "before")).alias("gap")),
+        "mix-cuts",
     )
-    rest = edge.where("before > rest").select("doc_id", "pattern", "size", "rank_key", F.col("base").alias("copies"), F.lit(False).alias("inn"))
-    chosen = materialise(sure.unionByName(cross).unionByName(rest), "mix-chosen")
     # what the order leaves short is met by the one document whose size is nearest to it
-    short = (
-        chosen.groupBy("pattern").agg(F.sum(F.expr("if(inn, size, 0)")).alias("got"))
-        .join(F.broadcast(wants), "pattern").select("pattern", (F.col("rest") - F.col("got")).alias("gap"))
-    )
-    best = (
-        chosen.where("NOT inn AND size > 0").join(F.broadcast(short), "pattern").where("abs(gap - size) < gap")
-        .groupBy("pattern").agg(F.min(F.struct(F.expr("abs(gap - size)").alias("off"), "rank_key")).alias("pick"))
-        .select("pattern", F.col("pick.rank_key").alias("pick_key"))
+    picks = (
+        rows.join(F.broadcast(cuts), "pattern").where("rank_key > cut_key AND size > 0 AND abs(gap - size) < gap")
+        .groupBy("pattern").agg(F.min(F.struct(F.expr("abs(gap - size)").alias("off"), "rank_key"))["rank_key"].alias("pick_key"))
     )
-    return chosen.join(F.broadcast(best), "pattern", "left").select(
-        "doc_id", "pattern", "size", F.expr("copies + if(NOT inn AND size > 0 AND rank_key <=> pick_key, 1, 0)").alias("copies")
-    )
-
+    rules = wants.select("pattern", "base").join(F.broadcast(cuts), "pattern", "left").join(F.broadcast(picks), "pattern", "left")
+    return materialise(rules.select("pattern", "base", "cut_key", "pick_key"), "mix-rules")
 
-def mix(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    weights: tuple[float, ...] = (5, 2, 1), times: int = 3, seed: int = 11, max_patterns: int = 100_000,
-) -> DataFrame:
-    """One row per row of ``docs``: doc_id, source, size, source_size, target, taken, copies.
 
-    ``source_col`` is a string, or an array of strings where documents belong to several sources; then
-    source_size and target are sums over them and the flow settles which quota a document serves.
-    Sources in code-point order, null last, take the ``weights`` in turn.
-    """
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> tuple[Column, Column]:
+    """The membership pattern of a row, as JSON, and its size."""
     several = docs.schema[source_col].dataType.typeName() == "array"
     member = F.array_sort(F.array_distinct(F.col(source_col))) if several else F.array(F.col(source_col).cast("string"))
-    sized = docs.select(F.col(id_col).alias("doc_id"), member.alias("pattern"), word_count(F.col(text_col).cast("string")).alias("size"))
-    sized = sized.withColumn("pattern", F.to_json(F.coalesce(F.col("pattern"), F.array(F.lit(None).cast("string")))))
-    sized = materialise(sized, "mix-sizes")
+    return F.to_json(F.coalesce(member, F.array(F.lit(None).cast("string")))), word_count(F.col(text_col).cast("string"))
+
+
+def plan_mix(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    weights: tuple[float, ...] = (5, 2, 1), times: int = 3, seed: int = 11, max_patterns: int = 100_000,
+) -> tuple[DataFrame, DataFrame]:
+    """The table of (doc_id, pattern, size, rank_key) and the rule of each pattern."""
+    pattern, size = _sized(docs, id_col, text_col, source_col)
+    sized = docs.select(F.col(id_col).alias("doc_id"), pattern.alias("pattern"), size.alias("size"))
+    sized = materialise(_bucketed(sized, seed), "mix-sizes")
     totals = sized.groupBy("pattern").agg(F.sum("size").alias("words")).limit(max_patterns + 1).collect()
     if len(totals) > max_patterns:
         raise ValueError(f"more than {max_patterns} membership patterns")
-    import json
-
     spark = docs.sparkSession
     parsed = {r["pattern"]: json.loads(r["pattern"]) for r in totals}
     names = sorted({x for p in parsed.values() for x in p if x is not None}) + [None] * any(None in p for p in parsed.values())
@@ -191,8 +191,43 @@ def mix(
         for r in totals
     ]
     plan = spark.createDataFrame(rows, "pattern string, pattern_size long, want long, source_size long, target double")
-    taken = select_documents(sized, plan.select("pattern", "pattern_size", "want"), seed, times)
-    return taken.join(F.broadcast(plan.select("pattern", "source_size", "target")), "pattern").select(
-        "doc_id", F.col("pattern").alias("sources"), "size", "source_size", "target",
-        (F.col("copies") * F.col("size")).cast("long").alias("taken"), F.col("copies").cast("int").alias("copies"),
+    rules = selection_rules(sized, plan.select("pattern", "pattern_size", "want"), times)
+    rules = rules.join(plan, "pattern").select(F.struct("pattern", "source_size", "target", "base", "cut_key", "pick_key").alias("rule"))
+    return sized, rules
+
+
+def _decided(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """``rows`` with the struct column ``own_mix`` (pattern, size, rank_key), and ``mixed`` from the rules.
+
+    No row is moved: the decision follows from its own key and the rules of its pattern.
+    """
+    both = rows.join(F.broadcast(rules), F.col("own_mix.pattern") == F.col("rule.pattern"), "left")
+    key = F.col("own_mix.rank_key")
+    once_more = F.coalesce(key <= F.col("rule.cut_key"), F.lit(False)) | (
+        F.coalesce(key == F.col("rule.pick_key"), F.lit(False)) & (F.col("own_mix.size") > 0))
+    return both.select("*", F.struct(
+        F.col("own_mix.pattern").alias("sources"), "own_mix.size", F.col("rule.source_size"), F.col("rule.target"),
+        (F.col("rule.base") + once_more.cast("int")).cast("int").alias("copies"),
+    ).alias("mixed"))
+
+
+def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 11, **options) -> DataFrame:
+    """``docs`` with the struct column ``mixed`` of sources, size, source_size, target and copies."""
+    _, rules = plan_mix(docs, id_col, text_col, source_col, seed=seed, **options)
+    pattern, size = _sized(docs, id_col, text_col, source_col)
+    own = F.struct(pattern.alias("pattern"), size.alias("size"), _rank_key(F.col(id_col), seed).alias("rank_key"))
+    return _decided(docs.withColumn("own_mix", own), rules).select(*docs.columns, "mixed")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """One row per row of ``docs``: doc_id, sources, size, source_size, target, taken, copies.
+
+    ``source_col`` is a string, or an array of strings where documents belong to several sources; then
+    source_size and target are sums over them and the flow settles which quota a document serves.
+    Sources in code-point order, null last, take the ``weights`` in turn.
+    """
+    sized, rules = plan_mix(docs, id_col, **options)
+    return _decided(sized.select("doc_id", F.struct("pattern", "size", "rank_key").alias("own_mix")), rules).select(
+        "doc_id", "mixed.sources", "mixed.size", "mixed.source_size", "mixed.target",
+        (F.col("mixed.copies") * F.col("mixed.size")).cast("long").alias("taken"), "mixed.copies",
     )
