@@ -165,8 +165,12 @@ def mask_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     found = find_secrets(docs, id_col, text_col, **options).where(F.size("spans") > 0)
     found = materialise(found.select(F.col("doc_id").alias("hit_id"), F.col("blob_id").alias("hit_blob"), "spans").dropDuplicates(["hit_id", "hit_blob"]), "secret-hits")
+    # texts that pass no hint have no finding; only the few others meet the findings
+    hinted = F.lit(False)
+    for r in options.get("rules", RULES):
+        hinted = hinted | F.coalesce(F.col(text_col).rlike(r.hint), F.lit(False))
     blob = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    both = docs.join(found, F.col(id_col).eqNullSafe(F.col("hit_id")) & (blob == F.col("hit_blob")), "left")
+    both = docs.where(hinted).join(found, F.col(id_col).eqNullSafe(F.col("hit_id")) & (blob == F.col("hit_blob")), "left")
     # a fold over spans sorted by start: text so far, and the place up to which the source is used
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at"))
     text = F.col(text_col)
@@ -180,4 +184,4 @@ def mask_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     done = F.aggregate("spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), text.substr(acc["at"] + 1, F.length(text))))
     masked = F.when(F.col("spans").isNull(), text).otherwise(done)
-    return both.select(*[masked.alias(c) if c == text_col else docs[c] for c in docs.columns])
+    return docs.where(~hinted).unionByName(both.select(*[masked.alias(c) if c == text_col else docs[c] for c in docs.columns]))
