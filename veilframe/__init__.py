@@ -1,0 +1 @@
+"""Finding and reversibly masking sensitive values in columns of text."""
