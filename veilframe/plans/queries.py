@@ -17,7 +17,14 @@ from . import engine
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """The table; if its files give fewer tasks than there are cores, dealt out to all of them.
+
+    Scanning is bound by the processor, and a file with one row group would be one task. A table of
+    many files is read as it stands.
+    """
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if name in ("documents", "pages", "conversations") and rows.rdd.getNumPartitions() < cores else rows
 
 
 def _only(*ids: str) -> Options:
