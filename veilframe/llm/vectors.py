@@ -182,8 +182,8 @@ def _verified(nodes: DataFrame, books, half: int, reach: float, threshold: float
 
 
 def nearest(
-    table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 50, top: int = 5, pivots: int = 64,
-    prefix: int = 24, share: float = 0.5, block: int = 8192, query_block: int = 2048, seed: int = 23,
+    table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 50, top: int = 5, pivots: int = 256,
+    prefix: int = 64, share: float = 0.3, block: int = 8192, query_block: int = 2048, seed: int = 23,
 ) -> DataFrame:
     """The ``top`` nearest by cosine of each query: query_id, rank, vec_id, score.
 
@@ -191,7 +191,7 @@ def nearest(
     points; a vector is represented by its ``prefix`` nearest pivots in order. Within each block of
     rows, postings by pivot hold the rows that have the pivot in their prefix and its rank there. A query
     walks the postings of its own prefix and adds up the footrule distance (a pivot missing on one side
-    counts as rank ``prefix``); the ``share`` of the block with the least distance is reranked by exact
+    counts as rank ``prefix``); only the ``share`` of the block with the least distance is reranked, by exact
     cosines. So work and candidates are the same share at every size. Blocks of rows meet blocks of
     queries by key; a block's answers are ``top`` rows a query.
 
@@ -210,8 +210,7 @@ def nearest(
         if not queries:
             continue
         own = rows.where(F.size("vec") == dim)
-        drawn = own.select("vec").distinct().orderBy(F.xxhash64(F.lit(seed), "vec")).limit(pivots).collect()
-        marks = _unit(np.array([r[0] for r in drawn], float))
+        marks = _unit(_pivots(own, int(n), pivots, seed))
         found = _searched(own, marks, int(n), int(queries), every, top, min(prefix, len(marks)), share, block, query_block)
         parts = found if parts is None else parts.unionByName(found)
     if parts is None:
@@ -222,6 +221,20 @@ def nearest(
     )
 
 
+def _pivots(rows: DataFrame, n: int, pivots: int, seed: int) -> np.ndarray:
+    """The ``pivots`` distinct vectors first in a seeded order, or all if they are fewer.
+
+    They are sought among a hashed fraction of the rows, so that not every vector is moved; copies
+    share a hash, so the fraction grows until it holds enough different ones.
+    """
+    drawn, share = rows.select("vec", (F.xxhash64(F.lit(seed), "vec").bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)).alias("u")), 8 * pivots / n
+    while True:
+        got = drawn.where(F.col("u") < share).distinct().orderBy("u", "vec").limit(pivots).collect()
+        if len(got) == pivots or share >= 1:
+            return np.array([r["vec"] for r in got], float)
+        share *= 16
+
+
 def orders(x: np.ndarray, marks: np.ndarray, prefix: int) -> np.ndarray:
     """The ``prefix`` pivots nearest to each row, nearest first."""
     return np.argsort(-(x @ marks.T), axis=1, kind="stable")[:, :prefix]
@@ -278,12 +291,13 @@ def _searched(rows, marks, n, queries, every, top, prefix, share, block, query_b
                 limit = np.partition(dist, most - 1, axis=1)[:, most - 1 : most]  # ties at the limit are in
             else:
                 limit = np.full((len(dist), 1), np.iinfo(np.int32).max)
-            rough = np.where(dist <= limit, uq[at : at + 64] @ ux.T, -2.0)
-            for i, row in enumerate(rough):
+            for i in range(len(dist)):
                 me = int(ask["vec_id"].iloc[at + i])
-                k = min(len(row), top + 1)  # the query's own entry may be one of them
-                cut = np.partition(row, len(row) - k)[len(row) - k]
-                near = np.flatnonzero((row >= cut - 1e-12) & (row > -2))
+                held_in = np.flatnonzero(dist[i] <= limit[i])
+                rough = ux[held_in] @ uq[at + i]
+                k = min(len(rough), top + 1)  # the query's own entry may be one of them
+                cut = np.partition(rough, len(rough) - k)[len(rough) - k]
+                near = held_in[rough >= cut - 1e-12]
                 score = (x[near] * raw_q[at + i]).sum(1) / (norm[near] * norm_q[at + i])
                 got = []
                 for e, s in sorted(zip(near.tolist(), score.tolist(), strict=True), key=lambda z: (-z[1], z[0])):
