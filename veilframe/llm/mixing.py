@@ -55,10 +55,33 @@ def route(patterns: dict[tuple[int, ...], int], quotas: list[int], layers: int =
     """Min-cost flow from patterns (their sources: their words) to quotas by source.
 
     The k-th use of a pattern's words costs k squared a word. Returns the words that each pattern
-    gives each source. Successive shortest paths with potentials; the network is small.
+    gives each source. Sources that no pattern joins, directly or by others, are networks of their own
+    and solved apart, so a source that overlaps with none is one short search.
     """
-    keys = sorted(patterns)
-    p, s = len(keys), len(quotas)
+    root = list(range(len(quotas)))
+
+    def top(j: int) -> int:
+        while root[j] != j:
+            root[j] = j = root[root[j]]
+        return j
+
+    for key in patterns:
+        for j in key[1:]:
+            root[top(j)] = top(key[0])
+    apart: dict[int, list[tuple[int, ...]]] = {}
+    for key in sorted(filter(None, patterns)):
+        apart.setdefault(top(key[0]), []).append(key)
+    used: dict[tuple[tuple[int, ...], int], int] = {}
+    for keys in apart.values():
+        used |= _flow({k: patterns[k] for k in keys}, {j: quotas[j] for k in keys for j in k}, layers)
+    return used
+
+
+def _flow(patterns: dict[tuple[int, ...], int], quotas: dict[int, int], layers: int) -> dict[tuple[tuple[int, ...], int], int]:
+    """``route`` of one network, by successive shortest paths with potentials."""
+    keys, names = sorted(patterns), sorted(quotas)
+    place = {j: n for n, j in enumerate(names)}
+    p, s = len(keys), len(names)
     source, sink = p + s, p + s + 1
     graph: list[list[list]] = [[] for _ in range(p + s + 2)]
 
@@ -74,9 +97,9 @@ def route(patterns: dict[tuple[int, ...], int], quotas: list[int], layers: int =
         for k in range(layers):
             arc(source, i, patterns[key], k * k)
         for j in key:
-            used[key, j] = arc(i, p + j, layers * patterns[key], 0)
-    for j, q in enumerate(quotas):
-        arc(p + j, sink, q, 0)
+            used[key, j] = arc(i, p + place[j], layers * patterns[key], 0)
+    for j in names:
+        arc(p + place[j], sink, quotas[j], 0)
     height = [0] * len(graph)
     while True:
         best, back = {source: 0}, {}
