@@ -3,13 +3,13 @@
 Two texts are alike as their sets of character n-grams are: the kernel is the
 number of n-grams of one to ``orders`` characters that both have, divided by the
 root of the product of the numbers each has (a blended-spectrum presence kernel
-of norm one). Letters are lower-cased and everything else counts as one blank. N-grams are hashed to ``2**bits`` places. ``landmarks`` texts for each
-language give the Nystroem features, and one ridge regression for each language
+of norm one). Letters are lower-cased and everything else counts as one blank.
+N-grams are hashed to ``2**bits`` places. ``landmarks`` texts for each language give the Nystroem features, and one ridge regression for each language
 against the rest is solved in closed form. Scoring is two matrix products for
 each batch: presence times landmarks, kernels times weights.
 
 Fitting takes at most ``per_lang`` labelled rows of each language, the first by a
-seeded hash of the id, as presence bits of whole texts (2**bits / 8 bytes each);
+seeded hash of id and text (rows equal in both teach once), as presence bits of whole texts (2**bits / 8 bytes each);
 at most ``max_langs`` languages, the most frequent ones, are learned. These are
 the documented bounds of what reaches the driver.
 
@@ -85,16 +85,17 @@ def fit(
 ) -> KernelModel:
     """Learn from rows (id, text, lang); rows with a null text or lang teach nothing."""
     rows = labelled.select(
-        F.xxhash64(F.lit(seed), F.col(id_col).cast("string")).alias("h"),
+        F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), F.col(text_col).cast("string")).alias("h"),
         F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("lang"),
     ).where("t IS NOT NULL AND lang IS NOT NULL")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct("h").alias("texts"))
+    counts = counts.orderBy(F.desc("rows"), "lang").limit(max_langs).collect()
     if not counts:
         return KernelModel([], np.zeros((0, (1 << bits) // 8), np.uint8), np.zeros((0, 0)), bits, orders)
     u = (F.col("h").bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)).alias("u")
     near = F.lit(False)
     for r in counts:
-        near = near | ((F.col("lang") == r["lang"]) & (u <= 3.0 * per_lang / r["count"]))
+        near = near | ((F.col("lang") == r["lang"]) & (u <= 3.0 * per_lang / r["texts"]))
 
     def bitrows(batches):
         for pdf in batches:
@@ -106,8 +107,8 @@ def fit(
                     out.append((lang, h & ((1 << 53) - 1), h, np.packbits(x).tobytes()))
             yield pd.DataFrame(out, columns=["lang", "u", "h", "bits"])
 
-    # about 3 * per_lang rows of a language pass the hash bound, whatever the size of the table
-    got = rows.where(near).mapInPandas(bitrows, "lang string, u long, h long, bits binary").collect()
+    # about 3 * per_lang texts of a language pass the hash bound, whatever the size of the table; repeated rows pass as one
+    got = rows.where(near).dropDuplicates(["lang", "h"]).mapInPandas(bitrows, "lang string, u long, h long, bits binary").collect()
     picked: dict[str, list] = {}
     for r in sorted(got, key=lambda r: (r["lang"], r["u"], r["h"], r["bits"])):
         own = picked.setdefault(r["lang"], [])
