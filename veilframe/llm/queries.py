@@ -132,12 +132,12 @@ FROM w LEFT JOIN s USING (r)
 _OP5 = """
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS s, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top
-  FROM pages WHERE page_id IS NOT NULL
+  FROM pages
 )
 SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes,
   array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
     1 + ((('0x' || substr(s, (5 * i // 4 + 1)::BIGINT, 2))::BIGINT >> (3 - 5 * i % 4)) & 31)::BIGINT, 1)), '') AS payload_digest,
-  CASE WHEN top = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN top <> page_id THEN top END AS refers_to
+  CASE WHEN top IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN top IS DISTINCT FROM page_id THEN top END AS refers_to
 FROM p
 """
 

@@ -13,16 +13,20 @@ order of captures: ``(part, place)``.
 
 Cases: a null html is an empty payload; a null url becomes ``urn:page:<id>``;
 line breaks in a url are percent-coded; repeated pages are captures of their own.
-Page ids mustn't be null (rows without one are left out).
+A page without an id has no ``X-Page`` field and comes first of its url and time;
+it revisits the page of largest id with its payload, and is a response where no
+page with that payload has an id.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,17 +59,17 @@ def url_key(url: str) -> str:
 
 def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0) -> DataFrame:
     """The text of each record, without its end, in the column ``value``."""
-    base = pages.where(F.col(id_col).isNotNull()).select(
+    base = pages.select(
         F.col(id_col).cast("long").alias("page_id"),
-        F.coalesce(F.col(url_col).cast("string"), F.concat(F.lit("urn:page:"), F.col(id_col).cast("string"))).alias("url"),
+        F.coalesce(F.col(url_col).cast("string"), F.concat(F.lit("urn:page:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("url"),
         F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"),
     ).withColumn("digest", sha1_base32("html")).withColumn("bytes", F.octet_length("html"))
     keys = materialise(base.select("page_id", "digest", "bytes"), "warc-keys")
     groups = keys.where(F.col("bytes") >= least).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    copies = keys.join(groups, "digest").where("page_id <> keeper").select(
+    copies = keys.join(groups, "digest").where("keeper IS NOT NULL AND NOT page_id <=> keeper").select(
         F.col("page_id").alias("copy_id"), F.col("digest").alias("copy_digest"), "keeper").distinct()
     copies = materialise(copies, "warc-copies")
-    both = base.join(copies, (F.col("page_id") == F.col("copy_id")) & (F.col("digest") == F.col("copy_digest")), "left")
+    both = base.join(copies, F.col("page_id").eqNullSafe(F.col("copy_id")) & (F.col("digest") == F.col("copy_digest")), "left")
     uid = lambda page: F.regexp_replace(F.md5(F.concat_ws(":", page, "digest")), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
     revisit = F.col("keeper").isNotNull()
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes"), F.lit("\r\n\r\n"))
@@ -76,14 +80,14 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
         line("WARC-Record-ID", F.concat(F.lit("<urn:uuid:"), uid(F.col("page_id")), F.lit(">"))),
         line("WARC-Target-URI", F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")),
-        line("WARC-Date", F.date_format(F.timestamp_seconds(F.pmod(F.col("page_id"), F.lit(4102444800))), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
+        line("WARC-Date", F.date_format(F.timestamp_seconds(F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(4102444800))), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest")),
         F.when(revisit, F.concat(
             line("WARC-Profile", F.lit(PROFILE)),
             line("WARC-Refers-To", F.concat(F.lit("<urn:uuid:"), uid(F.col("keeper")), F.lit(">"))),
             line("X-Refers-To-Page", F.col("keeper")),
         )).otherwise(F.lit("")),
-        line("X-Page", F.col("page_id")),
+        F.coalesce(line("X-Page", F.col("page_id")), F.lit("")),
         F.lit("Content-Type: application/http; msgtype=response\r\n"),
         line("Content-Length", F.octet_length(block)), F.lit("\r\n"),
     )
@@ -116,6 +120,7 @@ def parse_archive(raw: bytes):
         at = stop + 8 + size
 
 
+# ``sort_key`` ends in the place of the record, so no two captures have the same and a range of equal captures can be cut.
 ENTRY = (
     "run string, seq int, sort_key string, url_key string, timestamp string, page_id long, url string, record_type string, "
     "payload_digest string, payload_bytes long, refers_to long, archive string, offset long, length long"
@@ -125,28 +130,31 @@ ENTRY = (
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Index entries of all records, a sorted run for each archive."""
 
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}
+    schema = pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in ENTRY.split(", "))])
+
     def run(batches):
-        for pdf in batches:
-            for archive, raw in zip(pdf["path"], pdf["content"], strict=True):
-                rows = []
-                for offset, length, f, block in parse_archive(bytes(raw)):
+        for batch in batches:
+            for archive, raw in zip(batch["path"], batch["content"], strict=True):
+                archive, rows = archive.as_py(), []
+                for offset, length, f, block in parse_archive(raw.as_py()):
                     http, _, payload = block.partition(END)
                     size = next(int(x.split(b": ")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length: "))
                     digest = f["WARC-Payload-Digest"].removeprefix("sha1:")
                     if f["WARC-Type"] == "response" and (len(payload) != size or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest):
                         raise ValueError(f"{archive}: payload at offset {offset} doesn't match its digest")
                     stamp = "".join(c for c in f["WARC-Date"] if c.isdigit())
-                    key, page = url_key(f["WARC-Target-URI"]), int(f["X-Page"])
+                    key, page = url_key(f["WARC-Target-URI"]), int(f["X-Page"]) if "X-Page" in f else None
+                    nth = 0 if page is None else page + (1 << 63)
+                    where = f"{zlib.crc32(archive.encode()):08x}{offset:012x}"
                     refers = int(f["X-Refers-To-Page"]) if f["WARC-Type"] == "revisit" else None
-                    rows.append((f"{key} {stamp} {page + (1 << 63):020d}", key, stamp, page, f["WARC-Target-URI"], f["WARC-Type"], digest, size, refers, archive, offset, length))
+                    rows.append((f"{key} {stamp} {nth:020d} {where}", key, stamp, page, f["WARC-Target-URI"], f["WARC-Type"], digest, size, refers, archive, offset, length))
                 rows.sort()
-                out = pd.DataFrame(
-                    [(archive, i, *r) for i, r in enumerate(rows)], columns=[c.split()[0] for c in ENTRY.split(", ")]
-                )
-                yield out.astype({"refers_to": "Int64"})
+                columns = list(zip(*((archive, i, *r) for i, r in enumerate(rows)), strict=True)) or [()] * len(schema)
+                yield pa.record_batch([pa.array(c, t.type) for c, t in zip(columns, schema, strict=True)], schema=schema)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return files.select("path", "content").mapInPandas(run, ENTRY)
+    return files.select("path", "content").mapInArrow(run, ENTRY)
 
 
 class LoserTree:
@@ -202,18 +210,17 @@ def merge_index(entries: DataFrame, range_rows: int = 20_000, oversample: int =
     def part(key: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(splitters, key.to_numpy(object), side="right").astype("int32"))
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.reset_index(drop=True)
-        rows_of = [g.sort_values("seq").index.to_numpy() for _, g in pdf.groupby("run", sort=True)]
-        keys = pdf["sort_key"].to_numpy(object)
+    def merge(held: pa.Table) -> pa.Table:
+        _, run = np.unique(np.array(held["run"].to_pylist(), object), return_inverse=True)
+        by_run = np.lexsort((held["seq"].to_numpy(), run))
+        rows_of = np.split(by_run, np.flatnonzero(np.diff(run[by_run])) + 1)
+        keys = np.array(held["sort_key"].to_pylist(), object)
         tree = LoserTree([keys[r].tolist() for r in rows_of])
-        order = np.fromiter((rows_of[i][j] for i, j, _ in tree), np.int64, len(pdf))
-        out = pdf.iloc[order].reset_index(drop=True)
-        out["place"] = np.arange(len(out), dtype="int32")
-        return out.astype({"refers_to": "Int64"})
+        order = np.fromiter((rows_of[i][j] for i, j, _ in tree), np.int64, len(held))
+        return held.take(pa.array(order)).append_column("place", pa.array(np.arange(len(held), dtype="int32")))
 
     dealt = entries.withColumn("part", part("sort_key")).repartition("part")
-    return dealt.groupBy("part").applyInPandas(merge, ENTRY + ", part int, place int")
+    return dealt.groupBy("part").applyInArrow(merge, ENTRY + ", part int, place int")
 
 
 def archive_pages(pages: DataFrame, path: str | None = None, archive_bytes: int = 8 << 20, **columns) -> DataFrame:
