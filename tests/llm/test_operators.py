@@ -111,6 +111,10 @@ def test_simhash_agrees_with_spark_hash(spark):
 def test_drop_near_copies(table, nothing):
     kept = {r.doc_id for r in simhash.drop_near_copies(table).select("doc_id").collect()}
     assert 3 in kept and not kept & set(range(200, 230)) and len(kept & set(range(300, 325))) < 25
+    rows = [(1, "a b c d", "x"), (1, "a b c d", "y"), (1, "q r s t u v w", "x"), (1, None, "x"), (1, None, "x"), (2, "A b c d", "x")]
+    rows += [(None, "a b c d", "x"), (None, "a b c d", "x"), (None, None, None), (None, None, None), (3, "z z z z", None)]
+    left = simhash.drop_near_copies(table.sparkSession.createDataFrame(rows, "doc_id long, text string, fp string")).select("doc_id", "text").collect()
+    assert Counter(map(tuple, left)) == Counter([(1, "a b c d"), (1, "q r s t u v w"), (1, None), (None, "a b c d"), (None, None), (3, "z z z z")])
     assert simhash.simhash_groups(nothing).count() == 0
 
 
@@ -216,18 +220,20 @@ def test_backoff(table, docs, nothing):
 def test_warc(spark, tmp_path):
     rng = random.Random(3)
     rows = [(i, f"http://h{i % 5}.example.org/p/{rng.randrange(9)}", f"<html>{rng.randrange(12)} \r\n\r\nWARC/1.1\r\n é</html>") for i in range(90)]
+    rows += [(None, "http://h1.example.org/", f"<html>{n}</html>") for n in ("no id", "no id", "held too")] + [((1 << 62) + 1, None, "<html>held too</html>"), (None, None, None)]
     rows += [(200, None, None), (201, "https://a.example.com:8443/x?y#z", ""), (202, "u\r\nv", "x" * 300_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'q' AS digest", "1 AS bytes", "2 AS keeper", "3 AS n")
     index = warc.archive_pages(pages, f"file://{tmp_path}/w", archive_bytes=4000)
     got = index.collect()
     top = {}
     for p, _, h in rows:
-        top[h or ""] = max(p, top.get(h or "", -1))
+        top[h or ""] = max(-1 if p is None else p, top.get(h or "", -1))
+    digest_of = lambda html: base64.b32encode(hashlib.sha1(html.encode()).digest()).decode()
+    assert Counter((r.page_id, r.payload_digest) for r in got) == Counter((p, digest_of(h or "")) for p, _, h in rows)
     for r in got:
-        html = next((h or "") for p, _, h in rows if p == r.page_id)
-        raw = html.encode()
-        assert (r.payload_bytes, r.payload_digest) == (len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode())
-        keeper = top[html]
+        html = next((h or "") for p, _, h in rows if p == r.page_id and digest_of(h or "") == r.payload_digest)
+        assert r.payload_bytes == len(html.encode())
+        keeper = top[html] if top[html] >= 0 else None
         assert (r.record_type, r.refers_to) == (("response", None) if keeper == r.page_id else ("revisit", keeper))
         with open(r.archive.removeprefix("file:").replace("///", "/"), "rb") as f:
             f.seek(r.offset)
@@ -382,6 +388,8 @@ def test_nearest(spark):
     for r in sorted(exact, key=lambda r: (r.query_id, r.rank)):
         got.setdefault(r.query_id, []).append((-round(r.score, 9), r.vec_id))
     assert got == {k: v for k, v in want.items() if v}
+    copies = df.where("vec_id < 40").unionByName(df.where("vec_id = 7").crossJoin(spark.range(400)).selectExpr("1000 + id AS vec_id", "embedding", "label", "vec", "b", "q"))
+    assert len(vectors._pivots(copies.where("vec_id IN (3, 7) OR vec_id >= 1000").selectExpr("embedding AS vec"), 402, 2, 5)) == 2
     some = {(r.query_id, r.vec_id) for r in vectors.nearest(df).collect()}
     hits = sum((q, w) in some for q, v in want.items() for _, w in v)
     assert hits >= 0.9 * sum(map(len, want.values()))
@@ -436,6 +444,9 @@ def test_route_shares_overlapping_sources(spark):
     assert sum(v for (_, j), v in flow.items() if j == 0) == 15 and sum(v for (_, j), v in flow.items() if j == 1) == 25
     per = {k: sum(v for (p, _), v in flow.items() if p == k) for k in ((0,), (1,), (0, 1))}
     assert per == {(0,): 10, (1,): 10, (0, 1): 20}  # nothing is repeated where once is enough
+    many = {(j,): 3 + j % 5 for j in range(20_000)} | {(): 9, (0, 7, 9): 4}
+    flow = mixing.route(many, [2 * (3 + j % 5) for j in range(20_000)])  # solved source by source, else it would take hours
+    assert all(flow[(j,), j] == 2 * (3 + j % 5) for j in range(10, 20_000))
     rows = [(i, "a b c", ["x"] if i % 2 else ["x", "y"]) for i in range(40)]
     got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source array<string>"), weights=(1, 1)).collect()
     assert sum(r.taken for r in got) == pytest.approx(180, abs=3)
@@ -462,4 +473,6 @@ def test_language(spark):
     assert sum(right) >= 0.97 * len(right)
     assert [by[d].lang_pred for d in (900, 901, 902, 903)] == ["und", "und", "und", "aa"]
     assert {r.lang_pred for r in langid.identify(df.where("lang IS NULL")).collect()} == {"und"}
+    hot = df.unionByName(df.where("doc_id IS NULL").crossJoin(spark.range(3000)).selectExpr("doc_id", "text", "'bb' AS lang", "h", "t", "language"))
+    assert [len(m.landmarks) for m in (langid.fit(hot.where("doc_id IS NULL"), bits=12), langid.fit(df, bits=12, landmarks=5))] == [1, 15]
     assert langid.identify(df.limit(0)).count() == 0
