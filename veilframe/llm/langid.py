@@ -133,11 +133,11 @@ def fit(
 
 
 def predict(docs: DataFrame, model: KernelModel, text_col: str = "text", batch: int = 128) -> DataFrame:
-    """``docs`` with the struct column ``language`` of lang_pred and score."""
+    """``docs`` with the struct column ``language`` of lang_pred, score and grams, the n-gram places that the text has."""
 
     def score(texts: pd.Series) -> pd.DataFrame:
         marks = np.unpackbits(model.landmarks, axis=1).astype(np.float32)
-        pred, conf = [UND] * len(texts), np.zeros(len(texts))
+        pred, conf, grams = [UND] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), np.int32)
         for at in range(0, len(texts) if model.langs else 0, batch):
             part = texts.iloc[at : at + batch]
             x = np.zeros((len(part), 1 << model.bits), np.float32)
@@ -145,19 +145,57 @@ def predict(docs: DataFrame, model: KernelModel, text_col: str = "text", batch:
             for i, t in enumerate(part):
                 if (p := presence(t, model.bits, model.orders)) is not None:
                     x[i, p] = 1
+                    grams[at + i] = len(p)
                     has.append(i)
             if has:
                 f = np.round(_kernel(x[has], marks) @ model.weights, 6)
                 best = f.argmax(1)
                 for i, b, v in zip(has, best, f[np.arange(len(has)), best], strict=True):
                     pred[at + i], conf[at + i] = model.langs[b], min(1.0, max(0.0, float(v)))
-        return pd.DataFrame({"lang_pred": pred, "score": conf})
+        return pd.DataFrame({"lang_pred": pred, "score": conf, "grams": grams})
 
     score.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
-    scored: Column = F.pandas_udf(score, "lang_pred string, score double")(F.col(text_col).cast("string"))
+    scored: Column = F.pandas_udf(score, "lang_pred string, score double, grams int")(F.col(text_col).cast("string"))
     return docs.withColumn("language", scored)
 
 
+#: Words of the cuts of texts that show what short texts score.
+CUTS = (1, 2, 3, 5, 8, 16, 32, 100)
+
+
+def least_scores(
+    labelled: DataFrame, model: KernelModel, text_col: str = "text", lang_col: str = "lang", per_lang: int = 400,
+    quantile: float = 0.01, part: float = 0.5, least: float = 0.02, seed: int = 7,
+) -> list[float]:
+    """Scores that a text of a learned language hardly falls below, by the binary digits of its number of n-gram places.
+
+    They are ``part`` of the low ``quantile`` of the scores of ``labelled`` rows that are predicted right, about
+    ``per_lang`` of each language and their first words, the lowest of any language; none is below ``least`` or below
+    that of shorter texts. The rows should be held out, as those that teach score too well.
+    """
+    rows = labelled.select(F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("lang")).where("t IS NOT NULL AND lang IS NOT NULL")
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
+    u = F.xxhash64(F.lit(seed), "t").bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)
+    drawn = rows.join(F.broadcast(counts), "lang").where(u < per_lang / F.col("rows")).distinct()
+    words = F.split(F.trim("t"), "\\s+")
+    cuts = F.array(F.col("t"), *[F.array_join(F.slice(words, 1, k), " ") for k in CUTS])
+    scored = predict(drawn.select("lang", F.explode(F.array_distinct(cuts)).alias("t")), model, "t")
+    right = scored.where("language.lang_pred = lang").select("lang", F.length(F.bin(F.col("language.grams").cast("long"))).alias("size"), "language.score")
+    low = right.groupBy("lang", "size").agg(F.count(F.lit(1)).alias("rows"), F.percentile("score", quantile).alias("low")).where("rows >= 20")
+    got = {r["size"]: r["low"] for r in low.groupBy("size").agg(F.min("low").alias("low")).collect()}
+    out = [least]
+    for size in range(1, 32):
+        out.append(max(out[-1], part * got.get(size, 0.0)))
+    return out
+
+
+def fits(floors: list[float], language: str = "language") -> Column:
+    """Whether a prediction is a learned language's and its score is no less than texts of that size have."""
+    size = F.length(F.bin(F.col(f"{language}.grams").cast("long")))
+    floor = F.element_at(F.array(*[F.lit(x) for x in floors]), size + 1)
+    return (F.col(f"{language}.lang_pred") != UND) & (F.col(f"{language}.score") >= floor)
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """The third of the documents that never teach."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
