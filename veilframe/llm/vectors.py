@@ -191,8 +191,8 @@ def nearest(
     points; a vector is represented by its ``prefix`` nearest pivots in order. Within each block of
     rows, postings by pivot hold the rows that have the pivot in their prefix and its rank there. A query
     walks the postings of its own prefix and adds up the footrule distance (a pivot missing on one side
-    counts as rank ``prefix``); only the ``share`` of the block with the least distance is reranked, by exact
-    cosines. So work and candidates are the same share at every size. Blocks of rows meet blocks of
+    counts as rank ``prefix``); only the ``share`` of the block with the least distance, ``top`` + 1 entries at least, is reranked, by
+    exact cosines. So work and candidates are the same share at every size. Blocks of rows meet blocks of
     queries by key; a block's answers are ``top`` rows a query.
 
     Equal vectors of a block are one entry with its smallest ids: no more than ``top`` + 1 of them can be
@@ -279,7 +279,7 @@ def _searched(rows, marks, n, queries, every, top, prefix, share, block, query_b
         x, raw_q = raw[first[order]], _matrix(ask["vec"])
         ux, uq = _unit(x), _unit(raw_q)
         perms, asked = orders(ux, marks, prefix), orders(uq, marks, prefix)
-        most = max(1, int(np.ceil(share * len(x))))
+        most = max(top + 1, int(np.ceil(share * len(x))))  # the query's own entry and ``top`` others at least
         norm, norm_q = np.sqrt((x * x).sum(1)), np.sqrt((raw_q * raw_q).sum(1))
         out = []
         for at in range(0, len(ask), 64):
