@@ -8,10 +8,10 @@ N-grams are hashed to ``2**bits`` places. ``landmarks`` texts for each language
 against the rest is solved in closed form. Scoring is two matrix products for
 each batch: presence times landmarks, kernels times weights.
 
-Fitting takes at most ``per_lang`` labelled rows of each language, the first by a
-seeded hash of id and text (rows equal in both teach once), as presence bits of whole texts (2**bits / 8 bytes each);
-at most ``max_langs`` languages, the most frequent ones, are learned. These are
-the documented bounds of what reaches the driver.
+Every language that a row is labelled with is learned. Fitting takes at most ``per_lang`` labelled rows of each, the first by a
+seeded hash of id and text (rows equal in both teach once), as presence bits of whole texts (2**bits / 8 bytes each).
+Where languages are many each has fewer, so that rows are ``max_rows`` and landmarks ``max_marks`` in all, but one of each
+language at least. These are the documented bounds of what reaches the driver, with a count for each language.
 
 Cases: a null text, or one without letters, is ``und`` with score 0; ties go to
 the smaller label; with no labelled row all else is ``und`` too. Texts are read
@@ -81,7 +81,7 @@ def _kernel(x: np.ndarray, marks: np.ndarray) -> np.ndarray:
 
 def fit(
     labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", bits: int = 14,
-    orders: int = 3, per_lang: int = 400, landmarks: int = 32, max_langs: int = 64, ridge: float = 0.1, seed: int = 7,
+    orders: int = 3, per_lang: int = 400, landmarks: int = 32, max_rows: int = 25_600, max_marks: int = 2_048, ridge: float = 0.1, seed: int = 7,
 ) -> KernelModel:
     """Learn from rows (id, text, lang); rows with a null text or lang teach nothing."""
     rows = labelled.select(
@@ -89,13 +89,12 @@ def fit(
         F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("lang"),
     ).where("t IS NOT NULL AND lang IS NOT NULL")
     counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct("h").alias("texts"))
-    counts = counts.orderBy(F.desc("rows"), "lang").limit(max_langs).collect()
+    counts = counts.collect()
     if not counts:
         return KernelModel([], np.zeros((0, (1 << bits) // 8), np.uint8), np.zeros((0, 0)), bits, orders)
     u = (F.col("h").bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)).alias("u")
-    near = F.lit(False)
-    for r in counts:
-        near = near | ((F.col("lang") == r["lang"]) & (u <= 3.0 * per_lang / r["texts"]))
+    per_lang, landmarks = min(per_lang, max(1, max_rows // len(counts))), min(landmarks, max(1, max_marks // len(counts)))
+    bounds = labelled.sparkSession.createDataFrame([(r["lang"], 3.0 * max(per_lang, 8) / r["texts"]) for r in counts], "lang string, bound double")
 
     def bitrows(batches):
         for pdf in batches:
@@ -108,7 +107,7 @@ def fit(
             yield pd.DataFrame(out, columns=["lang", "u", "h", "bits"])
 
     # about 3 * per_lang texts of a language pass the hash bound, whatever the size of the table; repeated rows pass as one
-    got = rows.where(near).dropDuplicates(["lang", "h"]).mapInPandas(bitrows, "lang string, u long, h long, bits binary").collect()
+    got = rows.join(F.broadcast(bounds), "lang").where(u <= F.col("bound")).dropDuplicates(["lang", "h"]).select("h", "t", "lang").mapInPandas(bitrows, "lang string, u long, h long, bits binary").collect()
     picked: dict[str, list] = {}
     for r in sorted(got, key=lambda r: (r["lang"], r["u"], r["h"], r["bits"])):
         own = picked.setdefault(r["lang"], [])
@@ -119,16 +118,19 @@ def fit(
         return KernelModel([], np.zeros((0, (1 << bits) // 8), np.uint8), np.zeros((0, 0)), bits, orders)
     unpack = lambda b: np.unpackbits(np.frombuffer(b, np.uint8)).astype(np.float32)
     marks = np.stack([unpack(b) for g in langs for b in picked[g][:landmarks]])
-    x = np.stack([unpack(b) for g in langs for b in picked[g]])
+    x = [b for g in langs for b in picked[g]]
     y = np.concatenate([np.full(len(picked[g]), k) for k, g in enumerate(langs)])
-    kmm, knm = _kernel(marks, marks), _kernel(x, marks)
-    values, vectors = np.linalg.eigh(kmm)
+    values, vectors = np.linalg.eigh(_kernel(marks, marks))
     root = vectors * (1 / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T
-    z = knm @ root
     share = 1.0 / np.bincount(y, minlength=len(langs))[y]  # each language weighs the same
     w = (share * len(y) / len(langs))[:, None]
-    target = (y[:, None] == np.arange(len(langs))).astype(float)
-    beta = np.linalg.solve(z.T @ (w * z) + ridge * np.eye(z.shape[1]), z.T @ (w * target))
+    left, right = ridge * np.eye(len(marks)), np.zeros((len(marks), len(langs)))
+    for at in range(0, len(x), 2048):
+        part = slice(at, at + 2048)
+        z = _kernel(np.stack([unpack(b) for b in x[part]]), marks) @ root
+        left += z.T @ (w[part] * z)
+        right += z.T @ (w[part] * (y[part][:, None] == np.arange(len(langs))))
+    beta = np.linalg.solve(left, right)
     return KernelModel(langs, np.packbits(marks.astype(bool), axis=1), root @ beta, bits, orders)
 
 
