@@ -1,7 +1,13 @@
-"""Check rules of identifiers as column expressions. Each is total: null in, false out."""
+"""Check rules of identifiers as expressions. Each is total: null in, false out.
+
+A rule is SQL text over the text of an argument, so that the detectors put all of them into one
+expression that is parsed once; as functions of columns they are called by their names.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,143 +31,148 @@ VIN_LETTERS, VIN_DIGITS = "ABCDEFGHJKLMNPRSTUVWXYZ", "12345678123457923456789"
 NINO_BARRED = ("BG", "GB", "KN", "NK", "NT", "TN", "ZZ")
 
 
-def _total(c: Column) -> Column:
-    return F.coalesce(c, F.lit(False))
+Sql = Callable[[str], str]
 
 
-def digits(value: Column) -> Column:
-    return F.regexp_replace(value, "[^0-9]", "")
+def quoted(text: str) -> str:
+    """A string of SQL."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _nth(text: Column, i: int | Column) -> Column:
-    at = F.lit(i) if isinstance(i, int) else i
-    return F.try_to_number(F.substring(text, at, F.lit(1)), F.lit("9")).cast("int")
+def bind(name: str, value: str, body: str) -> str:
+    """``body`` with ``name`` for a value that is worked out once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def _weighted(text: Column, weights: tuple[int, ...]) -> Column:
-    """Sum of the first digits times their weights; null if one is missing."""
-    total = F.lit(0)
-    for i, w in enumerate(weights):
-        total = total + _nth(text, i + 1) * w
-    return total
+def apply(body: str, **columns: Column) -> Column:
+    """SQL text as a column, with columns for names in it."""
+    given = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return F.element_at(F.call_function("transform", F.array(given), F.expr(f"_a -> {body}")), 1)
 
 
-def _one_digit(text: Column) -> Column:
-    return text.rlike(r"\A(\d)\1*\z")
+def _digits(v: str) -> str:
+    return f"regexp_replace({v}, '[^0-9]', '')"
 
 
-def luhn(value: Column) -> Column:
-    d = F.reverse(digits(value))
+def _rule(value: str, body: str) -> str:
+    """A test of ``s``, a form of the argument."""
+    return f"coalesce({bind('s', value, body)}, false)"
 
-    def add(acc: Column, i: Column) -> Column:
-        x = _nth(d, i) * F.when(i % 2 == 0, 2).otherwise(1)
-        return acc + F.when(x > 9, x - 9).otherwise(x)
 
-    return _total(F.when(F.length(d) >= 2, F.aggregate(F.sequence(F.lit(1), F.length(d)), F.lit(0), add) % 10 == 0))
+def _weighted(weights: tuple[int, ...], of: str = "s") -> str:
+    """Sum of the first digits of ``of`` times their weights."""
+    return (
+        f"aggregate(zip_with(slice(split({of}, ''), 1, {len(weights)}), array({', '.join(map(str, weights))}), (c, w) -> cast(c as int) * w), 0, (n, x) -> n + x)"
+    )
 
 
-def iban(value: Column) -> Column:
-    s = F.upper(F.regexp_replace(value, r"[\s\x{A0}-]", ""))
-    lengths = F.create_map(*[F.lit(x) for pair in IBAN_LENGTHS.items() for x in pair])
-    turned = F.concat(F.substring(s, F.lit(5), F.length(s)), F.substring(s, 1, 4))
+_LUHN = (
+    "if(length({0}) >= 2, aggregate(transform(sequence(1, length({0})), i -> cast(substring({0}, -i, 1) as int) * if(i % 2 = 0, 2, 1)), 0, "
+    "(n, x) -> n + if(x > 9, x - 9, x)) % 10 = 0, false)"
+)
+_LENGTHS = "map(" + ", ".join(f"'{c}', {n}" for c, n in IBAN_LENGTHS.items()) + ")"
+_IBAN_MOD = (
+    "aggregate(split(concat(substring(s, 5), substring(s, 1, 4)), ''), 0, "
+    "(n, c) -> if(c >= 'A', (n * 100 + ascii(c) - 55) % 97, (n * 10 + ascii(c) - 48) % 97))"
+)
+_COMPACT = r"upper(regexp_replace({}, '[\\s\\x{{A0}}-]', ''))"
 
-    def mod(acc: Column, c: Column) -> Column:
-        code = F.ascii(c)
-        return F.when(code >= 65, (acc * 100 + code - 55) % 97).otherwise((acc * 10 + code - 48) % 97)
 
-    fits = F.coalesce(F.try_element_at(lengths, F.substring(s, 1, 2)) == F.length(s), F.lit(True))
-    return _total(F.when(s.rlike(r"\A[A-Z]{2}[0-9]{2}[A-Z0-9]{10,30}\z") & fits, F.aggregate(F.regexp_extract_all(turned, F.lit("."), F.lit(0)), F.lit(0), mod) == 1))
+def luhn_sql(v: str) -> str:
+    return _rule(_digits(v), _LUHN.format("s"))
 
 
-def ssn(value: Column) -> Column:
-    s = digits(value)
-    area = F.substring(s, 1, 3)
-    return _total(
-        (F.length(s) == 9) & ~area.isin("000", "666") & ~area.startswith("9") & (F.substring(s, 4, 2) != "00")
-        & (F.substring(s, 6, 4) != "0000") & ~_one_digit(s)
-    )
+def iban_sql(v: str) -> str:
+    fits = f"coalesce(try_element_at({_LENGTHS}, substring(s, 1, 2)) = length(s), true)"
+    return _rule(_COMPACT.format(v), f"if(s rlike '^[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{10,30}}\\\\z' and {fits}, {_IBAN_MOD} = 1, false)")
 
 
-def routing(value: Column) -> Column:
-    s = digits(value)
-    return _total((F.length(s) == 9) & (s != "000000000") & (_weighted(s, ROUTING_WEIGHTS) % 10 == 0))
+def ssn_sql(v: str) -> str:
+    given = "substring(s, 1, 3) not in ('000', '666') and substring(s, 1, 1) <> '9' and substring(s, 4, 2) <> '00' and substring(s, 6, 4) <> '0000'"
+    return _rule(_digits(v), f"length(s) = 9 and {given} and s <> repeat(substring(s, 1, 1), 9)")
 
 
-def nhs(value: Column) -> Column:
-    s = digits(value)
-    check = (11 - _weighted(s, NHS_WEIGHTS) % 11) % 11  # ten is no digit, so nothing equals it
-    return _total((F.length(s) == 10) & ~_one_digit(s) & (check == _nth(s, 10)))
+def routing_sql(v: str) -> str:
+    return _rule(_digits(v), f"if(length(s) = 9 and s <> '000000000', {_weighted(ROUTING_WEIGHTS)} % 10 = 0, false)")
 
 
-def npi(value: Column) -> Column:
-    s = digits(value)
-    return _total(s.rlike(r"\A[12]\d{9}\z") & luhn(F.concat(F.lit("80840"), s)))
+def nhs_sql(v: str) -> str:
+    # a check of ten is no digit, so nothing equals it
+    check = f"(11 - {_weighted(NHS_WEIGHTS)} % 11) % 11 = cast(substring(s, 10, 1) as int)"
+    return _rule(_digits(v), f"if(length(s) = 10 and s <> repeat(substring(s, 1, 1), 10), {check}, false)")
 
 
-def sin(value: Column) -> Column:
-    s = digits(value)
-    return _total(s.rlike(r"\A[1-79]\d{8}\z") & ~_one_digit(s) & luhn(s))
+def npi_sql(v: str) -> str:
+    return _rule(_digits(v), f"if(length(s) = 10 and substring(s, 1, 1) in ('1', '2'), {_LUHN.format("concat('80840', s)")}, false)")
 
 
-def tfn(value: Column) -> Column:
-    s = digits(value)
-    long, short = (F.length(s) == n for n in (9, 8))
-    return _total(F.when(long, _weighted(s, TFN_WEIGHTS) % 11 == 0).when(short, _weighted(s, TFN_WEIGHTS[:8]) % 11 == 0))
+def sin_sql(v: str) -> str:
+    return _rule(_digits(v), f"if(length(s) = 9 and substring(s, 1, 1) not in ('0', '8') and s <> repeat(substring(s, 1, 1), 9), {_LUHN.format('s')}, false)")
 
 
-def abn(value: Column) -> Column:
-    s = digits(value)
-    return _total((F.length(s) == 11) & ((_weighted(s, ABN_WEIGHTS) - ABN_WEIGHTS[0]) % 89 == 0))
+def tfn_sql(v: str) -> str:
+    return _rule(_digits(v), f"case length(s) when 9 then {_weighted(TFN_WEIGHTS)} % 11 = 0 when 8 then {_weighted(TFN_WEIGHTS[:8])} % 11 = 0 else false end")
 
 
-def vin(value: Column) -> Column:
-    s = F.upper(F.regexp_replace(value, r"[\s-]", ""))
-    rest = _weighted(F.translate(s, VIN_LETTERS, VIN_DIGITS), VIN_WEIGHTS) % 11
-    check = F.when(rest == 10, "X").otherwise(rest.cast("string"))
-    return _total(s.rlike(r"\A[A-HJ-NPR-Z0-9]{17}\z") & (F.substring(s, 9, 1) == check))
+def abn_sql(v: str) -> str:
+    return _rule(_digits(v), f"if(length(s) = 11, ({_weighted(ABN_WEIGHTS)} - {ABN_WEIGHTS[0]}) % 89 = 0, false)")
 
 
-def nino(value: Column) -> Column:
-    s = F.upper(F.regexp_replace(value, r"[\s\x{A0}-]", ""))
-    return _total(s.rlike(r"\A[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z][0-9]{6}[A-D]?\z") & ~F.substring(s, 1, 2).isin(*NINO_BARRED))
+def vin_sql(v: str) -> str:
+    rest = f"{_weighted(VIN_WEIGHTS, f"translate(s, '{VIN_LETTERS}', '{VIN_DIGITS}')")} % 11"
+    check = f"substring(s, 9, 1) = {bind('k', rest, "if(k = 10, 'X', cast(k as string))")}"
+    return _rule(f"upper(regexp_replace({v}, '[ \\\\t-]', ''))", f"if(s rlike '^[A-HJ-NPR-Z0-9]{{17}}\\\\z', {check}, false)")
 
 
-def base58(value: Column) -> Column:
-    return _total(value.rlike(r"\A[1-9A-HJ-NP-Za-km-z]+\z"))
+def nino_sql(v: str) -> str:
+    barred = ", ".join(f"'{p}'" for p in NINO_BARRED)
+    return _rule(_COMPACT.format(v), f"s rlike '^[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z][0-9]{{6}}[A-D]?\\\\z' and substring(s, 1, 2) not in ({barred})")
 
 
-def entropy(value: Column) -> Column:
-    """Shannon bits for each character; 0 for an empty text."""
-    chars = F.filter(F.split(value, ""), lambda c: c != "")
-    n = F.size(chars).cast("double")
+def base58_sql(v: str) -> str:
+    return f"coalesce({v} rlike '^[1-9A-HJ-NP-Za-km-z]+\\\\z', false)"
 
-    def add(acc: Column, c: Column) -> Column:
-        p = F.size(F.filter(chars, lambda x: x == c)) / n
-        return acc - p * F.log2(p)
 
-    return F.when(F.length(value) > 0, F.aggregate(F.array_sort(F.array_distinct(chars)), F.lit(0.0), add)).otherwise(F.lit(0.0))
+def entropy_sql(v: str) -> str:
+    share = "size(filter(chars, x -> x = c)) / cast(size(chars) as double)"
+    bits = f"aggregate(array_sort(array_distinct(chars)), cast(0 as double), (n, c) -> n - {share} * log2({share}))"
+    return f"if(length({v}) > 0, {bind('chars', f"split({v}, '')", bits)}, cast(0 as double))"
 
 
-def looks_random(value: Column, least: float = 3.2) -> Column:
-    return _total((F.length(value) >= 12) & value.rlike("[0-9]") & ~value.rlike(r"\A[0-9]+\z") & ~value.rlike(r"\s") & (entropy(value) >= least))
+def looks_random_sql(v: str, least: float = 3.2) -> str:
+    return f"coalesce(length({v}) >= 12 and {v} rlike '[0-9]' and {v} rlike '[^0-9]' and not {v} rlike '\\\\s' and {entropy_sql(v)} >= {least}, false)"
 
 
-def valid_date(year: Column, month: Column, day: Column) -> Column:
-    ok = year.between(1900, 2100) & month.between(1, 12) & day.between(1, 31)
-    first = F.make_date(F.when(ok, year), F.when(ok, month), F.lit(1))
-    return _total(ok & (day <= F.dayofmonth(F.last_day(first))))
+RULES: dict[str, Sql] = {
+    "luhn": luhn_sql, "iban": iban_sql, "ssn": ssn_sql, "routing": routing_sql, "nhs": nhs_sql, "npi": npi_sql, "sin": sin_sql, "tfn": tfn_sql,
+    "abn": abn_sql, "vin": vin_sql, "nino": nino_sql, "base58": base58_sql, "looks_random": looks_random_sql,
+}
 
 
-def hash32(value: Column) -> Column:
-    """FNV-1a over UTF-16 units, each as one step, 32 bits unsigned."""
-    units = F.hex(F.encode(value, "UTF-16BE"))
-    steps = F.transform(F.sequence(F.lit(1), F.greatest(F.length(units), F.lit(1)), F.lit(4)), lambda i: F.conv(F.substring(units, i, F.lit(4)), 16, 10).cast("bigint"))
+def _column(rule: Sql) -> Callable[[Column], Column]:
+    def run(value: Column) -> Column:
+        return apply(rule("_a.v"), v=value)
 
-    def step(h: Column, u: Column) -> Column:
-        return (h.bitwiseXOR(u) * F.lit(16777619).cast("bigint")).bitwiseAND(F.lit(4294967295))
+    return run
 
-    start = F.lit(2166136261).cast("bigint")
-    return F.when(F.length(value) > 0, F.aggregate(steps, start, step)).when(value.isNotNull(), start)
 
+VALIDATORS = {name: _column(rule) for name, rule in RULES.items()}
+luhn, iban, ssn, routing, nhs, npi, sin, tfn, abn, vin, nino, base58, looks_random = VALIDATORS.values()
 
-VALIDATORS = {f.__name__: f for f in (luhn, iban, ssn, routing, nhs, npi, sin, tfn, abn, vin, nino, base58, looks_random)}
+
+def entropy(value: Column) -> Column:
+    """Shannon bits for each character; 0 for an empty text."""
+    return apply(entropy_sql("_a.v"), v=value)
+
+
+def valid_date(year: Column, month: Column, day: Column) -> Column:
+    """Whether a day of the years 1900 to 2100 is in the calendar."""
+    inside = "_a.y between 1900 and 2100 and _a.m between 1 and 12 and _a.d between 1 and 31"
+    return apply(f"coalesce(if({inside}, _a.d <= day(last_day(make_date(_a.y, _a.m, 1))), false), false)", y=year, m=month, d=day)
+
+
+def hash32(value: Column) -> Column:
+    """FNV-1a over UTF-16 units, each as one step, 32 bits unsigned."""
+    units = "transform(sequence(1, length(u), 4), i -> cast(conv(substring(u, i, 4), 16, 10) as bigint))"
+    folded = bind("u", "hex(encode(_a.v, 'UTF-16BE'))", f"aggregate({units}, 2166136261L, (h, x) -> ((h ^ x) * 16777619L) & 4294967295L)")
+    return apply(f"case when length(_a.v) > 0 then {folded} when _a.v is not null then 2166136261L end", v=value)

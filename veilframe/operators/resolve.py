@@ -1,11 +1,13 @@
-"""From all matches to the disjoint ones that count, as array expressions."""
+"""From all matches to the disjoint ones that count."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.patterns import CLOSE, OPEN, literal
+from ..functions.validators import apply, bind
 
 MATCH = (
     "struct<start:int,end:int,value:string,confidence:double,detector:string,priority:int,risk:string,type:string,entity:int,part:string>"
@@ -31,24 +33,55 @@ def without_allowed(found: Column, allowlist: tuple[str, ...]) -> Column:
     return F.filter(found, kept)
 
 
-def resolve_overlaps(found: Column) -> Column:
-    """Disjoint matches by start. Of matches that overlap, the one of higher priority stays, then the
-    longer, the surer, the earlier, and the one found first; a match is only shut out by one that stays.
+def winners(spans: list[tuple[int, int, int, float]]) -> list[int]:
+    """Places in ``spans`` (start, end, priority, confidence) of those that stay, by start.
 
-    The order is that of a struct of keys, so no comparator runs; the fold looks at accepted matches only.
+    Of spans that overlap the one of higher priority stays, then the longer, the surer, the earlier, and the one found
+    first; a span is only shut out by one that stays. The characters taken are marks, so that a span is tested by one search over
+    its own length.
     """
-    keyed = F.transform(found, lambda m, i: F.struct(
-        (-m["priority"]).alias("a"), (m["start"] - m["end"]).alias("b"), (-m["confidence"]).alias("c"), m["start"].alias("d"), i.alias("e"), m.alias("m")))
-    empty = F.array().cast(f"array<{MATCH}>")
-
-    def step(kept: Column, k: Column) -> Column:
-        hit = F.exists(kept, lambda x: (x["start"] < k["m"]["end"]) & (k["m"]["start"] < x["end"]))
-        return F.when(hit, kept).otherwise(F.concat(kept, F.array(k["m"])))
-
-    return F.array_sort(F.aggregate(F.array_sort(keyed), empty, step))
+    taken = bytearray(max((s[1] for s in spans), default=0))
+    kept = []
+    for i in sorted(range(len(spans)), key=lambda i: (-spans[i][2], spans[i][0] - spans[i][1], -spans[i][3], spans[i][0], i)):
+        start, end = spans[i][:2]
+        if taken.find(1, start, end) < 0:
+            taken[start:end] = b"\1" * (end - start)
+            kept.append(i)
+    return sorted(kept, key=lambda i: spans[i][:2])
+
+
+def resolve_overlaps(df: DataFrame, matches_col: str) -> DataFrame:
+    """``df`` with disjoint matches by start. Rows without an overlap are only sorted; the others send the places of their
+    matches, no texts, through ``winners``."""
+
+    def run(places: pd.DataFrame) -> pd.Series:
+        out = []
+        for s, e, p, c in zip(places["start"], places["end"], places["priority"], places["confidence"], strict=True):
+            if s is None:
+                out.append(None)
+                continue
+            stay = [False] * len(s)
+            for i in winners(list(zip(s.tolist(), e.tolist(), p.tolist(), c.tolist(), strict=True))):
+                stay[i] = True
+            out.append(stay)
+        return pd.Series(out, dtype=object)
+
+    run.__annotations__ = {"places": pd.DataFrame, "return": pd.Series}
+    # a generator of one row ends the projection: the optimizer doesn't move the test into the function's arguments
+    others = [c for c in df.columns if c != matches_col]
+    at = F.struct(overlapping(F.col(matches_col)).alias("busy"), F.col(matches_col).alias("m"))
+    own = df.select(*others, F.explode(F.array(at)).alias("_vf_at")).select(*others, F.col("_vf_at.m").alias(matches_col), F.col("_vf_at.busy").alias("_vf_busy"))
+    found = F.col(matches_col)
+    parts = [found[f].alias(f) for f in ("start", "end", "priority", "confidence")]
+    stay = F.pandas_udf(run, "array<boolean>")(F.when(F.col("_vf_busy"), F.struct(*parts)))
+    # zipped, not looked up: a Python function can't stand inside a lambda
+    chosen = F.expr(f"transform(filter(arrays_zip({matches_col}, _vf_stay), z -> z._vf_stay), z -> z.{matches_col})")
+    kept = F.array_sort(F.when(F.col("_vf_stay").isNotNull(), chosen).otherwise(found))
+    return own.withColumn("_vf_stay", stay).select(*others, kept.alias(matches_col))
 
 
 def overlapping(found: Column) -> Column:
-    """Whether any two matches overlap: the fold above is needed by these rows only."""
-    ends = F.array_sort(F.transform(found, lambda m: F.struct(m["start"].alias("s"), m["end"].alias("e"))))
-    return F.size(F.filter(ends, lambda x, i: (i > 0) & (F.try_element_at(ends, i)["e"] > x["s"]))) > 0
+    """Whether any two matches overlap: only these rows need more than a sort."""
+    ends = "sort_array(transform(_a.m, m -> named_struct('s', m.start, 'e', m.end)))"
+    neighbours = "size(filter(o, (x, i) -> i > 0 and get(o, i - 1).e > x.s)) > 0"
+    return apply(bind("o", ends, neighbours), m=found)

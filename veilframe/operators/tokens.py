@@ -1,30 +1,32 @@
 """Tokens or pseudonyms for the matches of one document, and the text with them in place.
 
 Numbers follow the order of appearance, so this is a Python function on the rows
-that have a match. A token is never one that the document already holds.
+that have a match. A token is never one that the document already holds. Every step is
+one walk over the text or over the matches, whatever their number.
 """
 
 from __future__ import annotations
 
+import random
 import re
-from collections import defaultdict
-from dataclasses import dataclass, field
+from collections import Counter, defaultdict
 
 import regex
 
-from ..options import Options, styled
+from ..options import STYLES, Options, styled
 
 ENTRY = "struct<token:string,body:string,value:string,type:string,detector:string,risk:string,confidence:double,count:int>"
 RESULT = f"struct<redacted:string,entries:array<{ENTRY}>,tokens:array<struct<token:string,body:string>>,error:string>"
 ATTEMPTS = 64
 
-# Names and words of our own for pseudonyms; numbers come from ranges kept for documentation.
+# Words of our own for pseudonyms.
 _FIRST = "Aldis Brenna Corwin Delphi Edlyn Faron Gilda Hadrian Isolde Jorah Kelda Lorne Mirela Nerys Orrin Petra Quillan Rhoswen Stellan Thora".split()
 _LAST = "Ashgrove Birchmere Copperfell Dunwick Elmsworth Foxholt Greymoor Hartwell Ivydale Kingsmere Larkfield Marshgate Northlea Oxbourne Pinecrest".split()
 _FIRMS, _TRADES = "Bluepeak Cloverfield Duskwater Emberline Fernhollow Goldcrest Heronsgate".split(), "Works Supply Studios Foundry Freight Studio Trading".split()
 _ROADS = "Amber Bracken Clover Dover Ember Fennel Garnet Heather".split()
 # Card numbers that issuers publish for tests.
 _CARDS = ("4111 1111 1111 1111", "4012 8888 8888 1881", "5555 5555 5555 4444", "5105 1051 0510 5100", "3782 822463 10005", "6011 1111 1111 1117")
+_RUN = re.compile(r"[A-Za-z0-9_]+")
 
 
 def hash32(text: str) -> int:
@@ -36,155 +38,243 @@ def hash32(text: str) -> int:
     return h
 
 
-@dataclass
+# ---------------------------------------------------------------- pseudonyms
+# A maker draws from a generator seeded by the value; numbers come from what is kept for documentation and tests:
+# RFC 2606 names, RFC 5737 and RFC 7042 addresses, 555-01xx telephones, Social Security areas from 900 that are never given out.
+
+
+def _mail(r, value):
+    return f"{r.choice(_FIRST)}.{r.choice(_LAST)}@example.{r.choice(('com', 'org', 'net'))}".lower()
+
+
+def _bank_account(r, value):
+    body = f"TEST{r.randrange(10**14):014d}"
+    check = 98 - int("".join(str(int(c, 36)) for c in f"{body}GB00")) % 97
+    return f"GB{check:02d}{body}"
+
+
+def _day(r, value):
+    return f"{r.randrange(1950, 2006)}-{r.randrange(1, 13):02d}-{r.randrange(1, 29):02d}"
+
+
+def _link(r, value):
+    return f"https://example.{r.choice(('com', 'org'))}/page/{r.randrange(10**6)}"
+
+
+MAKERS = {
+    "EMAIL": _mail, "IBAN": _bank_account, "DATE": _day, "DATE_OF_BIRTH": _day, "URL": _link, "URL_WITH_SECRET": _link,
+    "ORG": lambda r, v: f"{r.choice(_FIRMS)} {r.choice(_TRADES)}",
+    "PHONE": lambda r, v: f"+1 {r.randrange(201, 990)} 555-01{r.randrange(100):02d}",
+    "CARD_EXPIRY": lambda r, v: f"{r.randrange(1, 13):02d}/{r.randrange(30, 40)}",
+    "CVV": lambda r, v: str(r.randrange(10**9))[-(4 if sum(map(str.isdigit, v)) == 4 else 3) :].zfill(3),
+    "SSN": lambda r, v: f"{r.randrange(900, 1000)}-{r.randrange(1, 100):02d}-{r.randrange(1, 10000):04d}",
+    "CREDIT_CARD": lambda r, v: r.choice(_CARDS),
+    "ADDRESS": lambda r, v: f"{r.randrange(1, 1000)} {r.choice(_ROADS)} Street",
+    "POSTAL_CODE": lambda r, v: f"{r.randrange(99951, 100000)}",
+    "IP_ADDRESS": lambda r, v: f"{r.choice(('192.0.2', '198.51.100', '203.0.113'))}.{r.randrange(1, 255)}",
+    "MAC_ADDRESS": lambda r, v: f"00:00:5e:00:53:{r.randrange(256):02x}",
+    "HOSTNAME": lambda r, v: f"node{r.randrange(10**5)}.example.test",
+    "SOCIAL_HANDLE": lambda r, v: f"someone{r.randrange(10**6)}",
+}
+
+
 class Faker:
-    """Made-up values, each used once and none of them in the document."""
+    """Made-up values, each used once and none of them in the document. Equal salts, types and values give equal ones."""
+
+    def __init__(self, salt: str, source: str, used: set[str] = frozenset()):
+        self.salt, self.source, self.used = salt, source, set(used)
+        self.people: dict[object, tuple[str, str]] = {}
+        self.words: set[str] | None = None
 
-    salt: str
-    source: str
-    used: set[str] = field(default_factory=set)
-    names: dict[object, tuple[str, str]] = field(default_factory=dict)
+    def person(self, who: object, seed: str) -> tuple[str, str]:
+        if who not in self.people:
+            r = random.Random(hash32(f"{self.salt}\0{seed}"))
+            self.people[who] = r.choice(_FIRST), r.choice(_LAST)
+        return self.people[who]
 
-    def person(self, who: object, seed: int) -> tuple[str, str]:
-        return self.names.setdefault(who, (_FIRST[seed % len(_FIRST)], _LAST[(seed >> 3) % len(_LAST)]))
+    def free(self, made: str) -> bool:
+        """Whether nobody has a value and the text doesn't hold it. Most have a word that the text hasn't, and need no search."""
+        if made in self.used:
+            return False
+        if self.words is None:
+            self.words = set(re.findall(r"\w+", self.source))
+        return not set(re.findall(r"\w+", made)) <= self.words or made not in self.source
 
     def __call__(self, kind: str, value: str, entity: int | None = None, part: str | None = None) -> str:
-        seed = hash32(f"{self.salt}{kind}{value}")
+        seed, made = hash32(f"{self.salt}{kind}{value}"), ""
         for n in range(ATTEMPTS):
-            made = self.make(kind, value, seed, n, entity, part)
-            if made not in self.used and made not in self.source:
+            made = self.made(kind, value, random.Random(seed + n * 0x9E3779B1), n, entity, part)
+            if self.free(made):
                 break
         else:
-            made = f"{self.make(kind, value, seed, 0, entity, part)}-{len(self.used) + 1}"
+            made = f"{made}-{len(self.used) + 1}"
+            while not self.free(made):
+                made += "x"
         self.used.add(made)
         return made
 
-    def make(self, kind: str, value: str, seed: int, n: int, entity: int | None, part: str | None) -> str:
-        two = lambda shift: f"{(seed >> shift) % 100:02d}"
-        again = str(n) if n else ""
+    def made(self, kind: str, value: str, r: random.Random, n: int, entity: int | None, part: str | None) -> str:
+        again = str(n + 1) if n else ""
         if kind == "PERSON":
-            first, last = self.person(entity if entity is not None else ("solo", value), seed)
-            return {"first": first + again, "last": last + again}.get(part or "", f"{first}{again} {last}{again}")
-        if kind == "EMAIL":
-            first, last = self.person(entity if entity is not None else ("mail", value), seed)
-            return f"{first}.{last}{again}@example.com".lower()
-        made = {
-            "ORG": lambda: f"{_FIRMS[(seed + n) % len(_FIRMS)]} {_TRADES[(seed >> 4) % len(_TRADES)]}{' ' + again if n > 1 else ''}",
-            "PHONE": lambda: f"+1 555-01{(seed + n) % 100:02d}",
-            "CARD_EXPIRY": lambda: f"{(seed + n) % 12 + 1:02d}/{28 + (seed >> 4) % 6}",
-            "CVV": lambda: f"{(seed + n) % 10000:04d}" if sum(c.isdigit() for c in value) == 4 else f"{(seed + n) % 1000:03d}",
-            "SSN": lambda: f"9{(seed + n) % 100:02d}-{two(5)}-{(seed >> 9) % 10000:04d}",
-            "CREDIT_CARD": lambda: _CARDS[(seed + n) % len(_CARDS)] + (f" #{n}" if n >= len(_CARDS) else ""),
-            "IBAN": lambda: f"GB29NWBK601613{(seed + n) % 1000000:06d}",
-            "ADDRESS": lambda: f"{100 + (seed + n) % 899} {_ROADS[(seed >> 2) % len(_ROADS)]} Lane",
-            "POSTAL_CODE": lambda: str(90000 + (seed + n) % 999),
-            "IP_ADDRESS": lambda: f"203.0.113.{(seed + n) % 254 + 1}",
-            "MAC_ADDRESS": lambda: f"02:00:5e:{(seed + n) % 100:02d}:{two(4)}:{two(8)}",
-            "URL": lambda: f"https://example.com/resource/{seed % 100000}{again}",
-            "URL_WITH_SECRET": lambda: f"https://example.com/resource/{seed % 100000}{again}",
-            "HOSTNAME": lambda: f"host-{seed % 1000}{again}.example.internal",
-            "DATE": lambda: f"{1960 + (seed + n) % 45}-{(seed >> 3) % 12 + 1:02d}-{(seed >> 7) % 28 + 1:02d}",
-            "SOCIAL_HANDLE": lambda: f"user{(seed + n) % 100000}",
-        }
-        made["DATE_OF_BIRTH"] = made["DATE"]
-        plain = re.sub("[^a-z0-9]+", "-", kind.lower())
-        return made.get(kind, lambda: f"{plain}-{(seed + n) % 1000000}")()
-
-
-def _number(body: str) -> int:
+            first, last = self.person(("alone", value) if entity is None else entity, value)
+            return " ".join(w + again for w, p in ((first, "first"), (last, "last")) if part in (p, "full", None))
+        if kind == "EMAIL" and entity is not None:
+            return f"{'.'.join(self.person(entity, value))}{again}@example.com".lower()
+        if kind in MAKERS:
+            return MAKERS[kind](r, value)
+        return f"{re.sub('[^a-z0-9]+', '-', kind.lower()).strip('-')}-{r.randrange(10**6):06d}"
+
+
+# ---------------------------------------------------------------- tokens
+
+
+def number_of(body: str) -> int:
     """The number at which a body's counter stands."""
     m = re.search(r"_(\d+)(?:_|\Z)", body)
     return int(m[1]) if m else 0
 
 
-def assign(text: str, found: list[dict], options: Options, seed: list[dict] | None = None) -> tuple[str, list[dict], list[tuple[str, str]]]:
-    """The text with tokens in place, the vault's entries, and the (token, body) of each match.
+class Numbers:
+    """Bodies of tokens that neither an entry nor the text has: ``TYPE_n``, and ``PERSON_n`` with a part for a person."""
 
-    ``found``: disjoint matches by start. ``seed``: entries of an earlier vault, whose tokens stay theirs.
-    """
-    low = text.lower()
-    entries = {(e["type"], e["value"]): {**e, "count": 0} for e in seed or ()}
-    bodies = {e["body"] for e in entries.values()}
-    counters: dict[str, int] = defaultdict(int)
-    for e in entries.values():
-        counters[e["type"]] = max(counters[e["type"]], _number(e["body"]))
-    people: dict[int, int] = {}
-    fake = Faker(options.salt, text, {e["token"] for e in entries.values()}) if options.mode == "pseudonym" else None
-    by_part: dict[str, int] = {}
-    if fake:
-        for m in found:
-            if m["type"] == "PERSON" and m["entity"] is not None:
-                by_part |= {p.lower(): m["entity"] for p in regex.split(r"[^\p{L}]+", m["value"]) if len(p) >= 3}
-
-    def free(body: str) -> bool:
-        return body not in bodies and body.lower() not in low
-
-    def new_body(m: dict) -> str:
-        kind, who = m["type"], m["entity"]
-        if kind != "PERSON" or who is None:
-            while True:
-                counters[kind] += 1
-                if free(body := f"{kind}_{counters[kind]}"):
-                    return body
-        if who not in people:
-            people[who] = counters["PERSON"] = counters["PERSON"] + 1
-        body = base = f"PERSON_{people[who]}" + {"first": "_FIRSTNAME", "last": "_LASTNAME"}.get(m["part"], "")
-        n = 1
-        while not free(body):
+    def __init__(self, text: str, entries, floors: dict[str, int]):
+        # a body in the text counts as taken only where restoring would take it for a token: alone, in any case
+        self.taken = {w.lower() for w in _RUN.findall(text) if "_" in w} | {e["body"].lower() for e in entries}
+        self.last: dict[str, int] = defaultdict(int, floors)
+        for e in entries:
+            self.last[e["type"]] = max(self.last[e["type"]], number_of(e["body"]))
+        self.people: dict[int, int] = {}
+
+    def claim(self, body: str) -> bool:
+        free = body.lower() not in self.taken
+        self.taken.add(body.lower())
+        return free
+
+    def next(self, kind: str, entity: int | None, part: str | None) -> str:
+        if kind == "PERSON" and entity is not None:
+            return self.for_person(entity, part)
+        while True:
+            self.last[kind] += 1
+            if self.claim(body := f"{kind}_{self.last[kind]}"):
+                return body
+
+    def for_person(self, entity: int, part: str | None) -> str:
+        if entity not in self.people:
+            self.last["PERSON"] += 1
+            self.people[entity] = self.last["PERSON"]
+        stem = f"PERSON_{self.people[entity]}" + {"first": "_FIRSTNAME", "last": "_LASTNAME"}.get(part or "", "")
+        body, n = stem, 1
+        while not self.claim(body):
             n += 1
-            body = f"{base}_{n}"
+            body = f"{stem}_{n}"
         return body
 
-    def related(m: dict) -> int | None:
-        if m["entity"] is not None or m["type"] not in ("EMAIL", "SOCIAL_HANDLE"):
-            return m["entity"]
-        local = m["value"].split("@")[0].lower()
-        return next((who for part, who in by_part.items() if part in local), None)
 
-    out, at, tokens = [], 0, []
+def spliced(text: str, places: list[tuple[int, int]], tokens: list[str]) -> str:
+    """The text with a token at each of the disjoint places, which are by start."""
+    edges = [0, *(x for p in places for x in p), len(text)]
+    kept = [text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)]
+    return "".join(x for pair in zip(kept, [*tokens, ""], strict=True) for x in pair)
+
+
+def _owner(m: dict, by_part: dict[str, int]) -> int | None:
+    """The person that a match belongs to: its own, or of an address or handle the one whose name it holds."""
+    if m["entity"] is not None or m["type"] not in ("EMAIL", "SOCIAL_HANDLE"):
+        return m["entity"]
+    local = m["value"].partition("@")[0].lower()
+    words = [w for w in regex.split(r"[^\p{L}]+", local) if w]
+    exact = next((by_part[w] for w in words if w in by_part), None)
+    return exact if exact is not None else next((who for part, who in by_part.items() if part in local), None)
+
+
+def assign(
+    text: str, found: list[dict], options: Options, seed: list[dict] | None = None, floors: dict[str, int] | None = None,
+) -> tuple[str, list[dict], list[tuple[str, str]]]:
+    """The text with tokens in place, the vault's entries, and the (token, body) of each match.
+
+    ``found``: disjoint matches by start. ``seed``: entries of an earlier vault, whose tokens stay theirs. ``floors``: numbers
+    by type that earlier documents have used up.
+    """
+    entries = {(e["type"], e["value"]): {**e, "count": 0} for e in seed or ()}
+    firsts: dict[tuple[str, str], dict] = {}
+    for m in found:
+        firsts.setdefault((m["type"], m["value"]), m)
+    times = Counter((m["type"], m["value"]) for m in found)
+    numbers = Numbers(text, entries.values(), floors or {})
+    fake, by_part = None, {}
+    if options.mode == "pseudonym":
+        fake = Faker(options.salt, text, {e["token"] for e in entries.values()})
+        named = (m for m in found if m["type"] == "PERSON" and m["entity"] is not None)
+        by_part = {w.lower(): m["entity"] for m in named for w in regex.split(r"[^\p{L}]+", m["value"]) if len(w) >= 3}
+    for key, m in firsts.items():
+        if key not in entries:
+            body = numbers.next(m["type"], m["entity"], m["part"])
+            token = fake(m["type"], m["value"], _owner(m, by_part), m["part"]) if fake else styled(body, options.style)
+            entries[key] = {k: m[k] for k in ("value", "type", "detector", "risk", "confidence")} | {"token": token, "body": body, "count": 0}
+        entries[key]["count"] = times[key]
     for m in found:
-        entry = entries.get((m["type"], m["value"]))
-        if entry is None:
-            body = new_body(m)
-            bodies.add(body)
-            token = fake(m["type"], m["value"], related(m), m["part"]) if fake else styled(body, options.style)
-            entry = {k: m[k] for k in ("value", "type", "detector", "risk", "confidence")} | {"token": token, "body": body, "count": 0}
-            entries[m["type"], m["value"]] = entry
-        entry["count"] += 1
+        entry = entries[m["type"], m["value"]]
         entry["confidence"] = max(entry["confidence"], m["confidence"])
-        tokens.append((entry["token"], entry["body"]))
-        out += [text[at : m["start"]], entry["token"]]
-        at = m["end"]
-    return "".join([*out, text[at:]]), list(entries.values()), tokens
+    own = [entries[m["type"], m["value"]] for m in found]
+    out = spliced(text, [(m["start"], m["end"]) for m in found], [e["token"] for e in own])
+    return out, list(entries.values()), [(e["token"], e["body"]) for e in own]
 
 
-_WRAP = {"bracket": (r"\[\s*", r"\s*\]"), "curly": (r"\{\{\s*", r"\s*\}\}"), "angle": (r"<\s*", r"\s*>")}
+# ---------------------------------------------------------------- restoring
+
+
+def _put_back_tokens(text: str, said: dict[str, dict], style: str) -> tuple[str, Counter]:
+    """Every run of word characters that is a body, with the style's marks around it or bare, in any case."""
+    left, right = (re.escape(s) for s in STYLES.get(style, ("", "")))
+    dress = rf"(?P<open>{left}\s*+)?(?P<body>(?<![A-Za-z0-9_])[A-Za-z0-9_]++)(?P<close>\s*+{right})?" if left else r"(?P<open>)(?P<body>[A-Za-z0-9_]++)(?P<close>)"
+    hits: Counter = Counter()
+
+    def back(m) -> str:
+        key = m["body"].lower()
+        if key not in said:
+            return m[0]
+        hits[key] += 1
+        value = said[key]["value"]
+        return value if m["open"] and m["close"] else f"{m['open'] or ''}{value}{m['close'] or ''}"
+
+    return re.sub(dress, back, text), hits
+
+
+def _put_back_values(text: str, said: dict[str, dict]) -> tuple[str, Counter]:
+    """Every pseudonym that stands alone, the longest first where several begin: found by its first word and its length."""
+    atom = re.compile(r"\w+|[^\w\s]")
+    lengths: dict[str, set[int]] = defaultdict(set)
+    for token in said:
+        if m := atom.search(token):
+            lengths[m[0]].add(len(token) - m.start())
+    heads = {a: sorted(n, reverse=True) for a, n in lengths.items()}
+    by_rest = {token[m.start() :]: token for token in said if (m := atom.search(token))}
+    hits: Counter = Counter()
+    out, done = [], 0
+    for m in atom.finditer(text):
+        at = m.start()
+        if at < done or m[0] not in heads or (at and re.match(r"\w", text[at - 1])):
+            continue
+        for n in heads[m[0]]:
+            token = by_rest.get(text[at : at + n])
+            if token is not None and not (at + n < len(text) and re.match(r"\w", text[at + n])):
+                hits[token] += 1
+                out += [text[done:at], said[token]["value"]]
+                done = at + n
+                break
+    return "".join([*out, text[done:]]), hits
 
 
 def restore(text: str | None, entries: list[dict], mode: str, style: str) -> tuple[str, int, list[tuple], list[tuple]]:
     """The text with the values back, how many, and (token, value, type, count) and (token, type) of those found and not.
 
-    One pass, the longest token first at every place, so what is put back is never searched again.
+    One pass, so what is put back is never searched again.
     """
     text, said = text or "", {}
     for e in entries:
         said.setdefault(e["token"] if mode == "pseudonym" else e["body"].lower(), e)
-    hits: dict[str, int] = defaultdict(int)
+    hits: Counter = Counter()
     if said:
-        tokens = sorted(said, key=lambda t: (-len(t), t))
-        if mode == "pseudonym":
-            pattern = regex.compile(rf"(?<![\p{{L}}\p{{N}}_])(?P<b>{'|'.join(map(regex.escape, tokens))})(?![\p{{L}}\p{{N}}_])")
-        else:
-            every = "|".join(map(regex.escape, tokens))
-            left, right = _WRAP.get(style, ("", ""))
-            wrapped = f"{left}(?P<b>{every}){right}|" if left else ""
-            pattern = regex.compile(rf"(?i)(?<![A-Za-z0-9_])(?:{wrapped}(?P<b>{every}))(?![A-Za-z0-9_])", regex.ASCII)
-
-        def back(m) -> str:
-            key = m["b"] if mode == "pseudonym" else m["b"].lower()
-            hits[key] += 1
-            return said[key]["value"]
-
-        text = pattern.sub(back, text)
+        text, hits = _put_back_values(text, said) if mode == "pseudonym" else _put_back_tokens(text, said, style)
     restored = [(e["token"], e["value"], e["type"], hits[k]) for k, e in said.items() if hits[k]]
     return text, sum(hits.values()), restored, [(e["token"], e["type"]) for k, e in said.items() if not hits[k]]

@@ -10,19 +10,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import validators as V
-from ..options import Options, Rule
-from ..operators.detectors import detect_column
+from ..operators.detectors import DETECTORS, detect_column, token_name
+from ..operators.resolve import MATCH, resolve_overlaps
+from ..operators.tokens import ENTRY
+from ..options import STYLES, Options, Rule
 from . import engine
+from .cases import CLEAN, DETECTOR_CASES
 
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The table; if its files give fewer tasks than there are cores, dealt out to all of them.
-
-    Scanning is bound by the processor, and a file with one row group would be one task. A table of
-    many files is read as it stands.
-    """
+def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """The columns of a table. Scanning is bound by the processor: where a scan has fewer tasks than there are cores, as for a file with one row
+    group, the rows are dealt out to all of them; a table of many files stays as it is read."""
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = rows.select(*columns) if columns else rows
     cores = spark.sparkContext.defaultParallelism
     return rows.repartition(cores) if name in ("documents", "pages", "conversations") and rows.rdd.getNumPartitions() < cores else rows
 
@@ -33,7 +32,7 @@ def _only(*ids: str) -> Options:
 
 def _spans(spark: SparkSession, sf_dir: str, detector: str, table: str = "documents", key: str = "doc_id") -> DataFrame:
     """Every span of one detector, straight from its column expression."""
-    rows = _table(spark, sf_dir, table).select(key, F.explode(detect_column(engine.as_text(F.col("text" if table != "pages" else "html")), detector)).alias("s"))
+    rows = _table(spark, sf_dir, table, key, "text" if table != "pages" else "html").select(key, F.explode(detect_column(engine.as_text(F.col("text" if table != "pages" else "html")), detector)).alias("s"))
     return rows.select(key, "s.start", "s.end", "s.value")
 
 
@@ -47,7 +46,7 @@ def ipv4_spans(spark, sf_dir):
 
 def phone_spans(spark, sf_dir):
     """Accepted ones: a number with its country code holds one without."""
-    return engine.spans_table(engine.detect(_table(spark, sf_dir, "documents"), "text", _only("phone"))).select("doc_id", "start", "end", "value")
+    return engine.spans_table(engine.detect(_table(spark, sf_dir, "documents", "doc_id", "text"), "text", _only("phone"))).select("doc_id", "start", "end", "value")
 
 
 def card_spans(spark, sf_dir):
@@ -59,7 +58,7 @@ def secret_spans(spark, sf_dir):
 
 
 def email_spans_by_source(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents")
+    docs = _table(spark, sf_dir, "documents", "source", "text")
     n = F.size(detect_column(engine.as_text(F.col("text")), "email"))
     return docs.select("source", n.alias("n")).groupBy("source").agg(
         F.count(F.lit(1)).alias("documents"), F.sum("n").cast("long").alias("emails"), F.count_if(F.col("n") > 0).alias("with_email"))
@@ -75,7 +74,7 @@ _COMMON = ("email", "credit_card")
 
 def _exposed(spark, sf_dir):
     """(doc_id, source, lang, type, risk) of every accepted e-mail and card."""
-    return engine.detect(_table(spark, sf_dir, "documents"), "text", _only(*_COMMON)).select("doc_id", "source", "lang", F.inline("matches")).select(
+    return engine.detect(_table(spark, sf_dir, "documents", "doc_id", "source", "lang", "text"), "text", _only(*_COMMON)).select("doc_id", "source", "lang", F.inline("matches")).select(
         "doc_id", "source", "lang", "type", "risk")
 
 
@@ -97,13 +96,13 @@ def exposure_vs_quality(spark, sf_dir):
 
 
 def clean_docs(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "n_chars")
     return docs.join(_exposed(spark, sf_dir), "doc_id", "left_anti").groupBy("lang").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_chars").alias("chars"))
 
 
 def first_seen_token_number(spark, sf_dir):
     """The number of each e-mail's token: the order in which values first appear in their document."""
-    done = engine.redact(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text", _only("email"))
+    done = engine.redact(_table(spark, sf_dir, "documents", "doc_id", "text"), "text", _only("email"))
     return engine.vault(done).select("doc_id", "value", "token", F.col("count").cast("int").alias("times"))
 
 
@@ -149,13 +148,30 @@ def validator_vectors(spark, sf_dir):
     return rows.select("fn", "input", got.alias("valid"))
 
 
+_FIVE = ("email", "credit_card", "phone", "ip_address", "secret_assignment")
+
+
+def _back(spark, sf_dir, options):
+    """Redaction and restoring of every document: the text that came back, and how many values were out of it meanwhile."""
+    done = engine.redact(_table(spark, sf_dir, "documents", "doc_id", "text"), options=options)
+    back = engine.restore_column(done, "redacted", "entries", options)
+    return back.select("doc_id", F.col("restored_text").alias("text"), F.size("matches").alias("removed"), (F.size("matches") > 0).alias("expected"),
+                       (F.col("redacted") != F.coalesce("text", F.lit(""))).alias("changed"))
+
+
 def roundtrip_identity(spark, sf_dir):
-    return engine.verify_round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.col("restored_text").alias("text"))
+    """With every default detector; whether a text was changed is said by its matches."""
+    back = _back(spark, sf_dir, Options())
+    return back.select("doc_id", "text", (F.col("changed") == F.col("expected")).alias("changed_where_found"))
+
+
+def roundtrip_tokens(spark, sf_dir):
+    return _back(spark, sf_dir, _only(*_FIVE)).select("doc_id", "text", "removed", "changed")
 
 
 def roundtrip_pseudonyms(spark, sf_dir):
-    opts = Options(mode="pseudonym", salt="s", enabled=("email", "credit_card", "phone", "ip_address", "secret_assignment"))
-    return engine.verify_round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"), options=opts).select("doc_id", F.col("restored_text").alias("text"))
+    opts = Options(mode="pseudonym", salt="s", enabled=_FIVE, structure_aware=False)
+    return _back(spark, sf_dir, opts).select("doc_id", "text", "removed", "changed")
 
 
 def fnv1a_hash(spark, sf_dir):
@@ -169,19 +185,19 @@ def entropy_by_brand(spark, sf_dir):
 def custom_rule_spans(spark, sf_dir):
     """A literal of the user's, in whole words and any case, over every detector."""
     opts = Options(enabled=(), structure_aware=False, custom_rules=(Rule("Small word", "the"), Rule("Bad", "[", "regex")))
-    found = engine.detect(_table(spark, sf_dir, "documents"), "text", opts)
+    found = engine.detect(_table(spark, sf_dir, "documents", "lang", "text"), "text", opts)
     return found.groupBy("lang").agg(F.sum(F.size("matches")).cast("long").alias("hits"))
 
 
 def allowlisted(spark, sf_dir):
     """E-mails but those of one domain, cleared by the allowlist's rule of whole words."""
     opts = Options(enabled=("email",), structure_aware=False, allowlist=("example.com",))
-    return engine.detect(_table(spark, sf_dir, "documents"), "text", opts).groupBy("lang").agg(F.sum(F.size("matches")).cast("long").alias("emails"))
+    return engine.detect(_table(spark, sf_dir, "documents", "lang", "text"), "text", opts).groupBy("lang").agg(F.sum(F.size("matches")).cast("long").alias("emails"))
 
 
 def confident_only(spark, sf_dir):
     opts = Options(enabled=("email", "secret_assignment"), structure_aware=False, min_confidence=0.95)
-    found = engine.detect(_table(spark, sf_dir, "documents"), "text", opts).select(F.inline("matches"))
+    found = engine.detect(_table(spark, sf_dir, "documents", "text"), "text", opts).select(F.inline("matches"))
     return found.groupBy("type").agg(F.count(F.lit(1)).alias("occurrences"))
 
 
@@ -192,35 +208,143 @@ def valid_order_dates(spark, sf_dir):
 
 
 def document_stats(spark, sf_dir):
-    done = engine.redact(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text", _only(*_COMMON))
+    done = engine.redact(_table(spark, sf_dir, "documents", "doc_id", "text"), "text", _only(*_COMMON))
     return engine.stats(done).select("doc_id", "occurrences", "characters", "risk_score", "risk_label", "needs_review")
 
 
 def document_findings(spark, sf_dir):
-    done = engine.redact(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text", _only("email"))
+    done = engine.redact(_table(spark, sf_dir, "documents", "doc_id", "text"), "text", _only("email"))
     return engine.findings(done).select("doc_id", "type", "label", "group", "value", "count", "risk", "confidence")
 
 
 def frequent_value_rank(spark, sf_dir):
     """The three most frequent e-mails of each source, by a window over counts."""
-    counts = engine.detect(_table(spark, sf_dir, "documents"), "text", _only("email")).select("source", F.inline("matches")).groupBy("source", "value").agg(F.count(F.lit(1)).alias("times"))
+    counts = engine.detect(_table(spark, sf_dir, "documents", "source", "text"), "text", _only("email")).select("source", F.inline("matches")).groupBy("source", "value").agg(F.count(F.lit(1)).alias("times"))
     rank = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("times"), "value"))
     return counts.withColumn("rank", rank).where("rank <= 3")
 
 
 def resolved_overlaps(spark, sf_dir):
-    """A handle inside an e-mail, a key inside an assignment: what is left of matches that overlap."""
-    done = engine.detect(_table(spark, sf_dir, "documents"), "text", Options(structure_aware=False))
+    """What is left of the matches of five detectors that overlap: by priority, then by length."""
+    done = engine.detect(_table(spark, sf_dir, "documents", "doc_id", "text"), "text", _only(*_FIVE))
     return engine.spans_table(done).select("doc_id", "start", "end", "type", "priority")
 
 
 def person_names(spark, sf_dir):
-    return engine.spans_table(engine.detect(_table(spark, sf_dir, "documents"), "text", _only("person_name"))).select("doc_id", "start", "end", "value", "entity", "part")
+    """Names in documents, and in each a made-up letter head with a name the lists have."""
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.concat(F.lit("Contact: Mary Jones\n"), F.coalesce("text", F.lit(""))).alias("text"))
+    found = engine.spans_table(engine.detect(docs, "text", _only("person_name")))
+    return found.where("start < 20").select("doc_id", "start", "end", "value", "entity", "part")
 
 
 def pseudonyms(spark, sf_dir):
-    done = engine.redact(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text", Options(mode="pseudonym", salt="s"))
-    return engine.vault(done).select("doc_id", "type", "token", "count")
+    """Vault entries of pseudonym mode, but for the pseudonyms themselves: whether each is new to the text."""
+    done = engine.redact(_table(spark, sf_dir, "documents", "doc_id", "text"), "text", Options(mode="pseudonym", salt="s", enabled=_FIVE, structure_aware=False))
+    entries = done.select("doc_id", "text", F.inline("entries"))
+    return entries.select("doc_id", "type", "value", "count", (~F.col("text").contains(F.col("token"))).alias("new"))
+
+
+def corpus_vault(spark, sf_dir):
+    """One token for an e-mail address over all documents."""
+    _, entries = engine.redact_corpus(_table(spark, sf_dir, "documents", "doc_id", "text"), "text", _only("email"))
+    n = F.regexp_extract("token", "EMAIL_([0-9]+)", 1).cast("long")
+    return entries.select("value", "count", (n <= F.count(F.lit(1)).over(Window.partitionBy("type"))).alias("dense"))
+
+
+def approximate_exposure(spark, sf_dir):
+    """Distinct addresses and hits of a source by sketches."""
+    found = engine.detect(_table(spark, sf_dir, "documents", "source", "text"), "text", _only("email")).select("source", F.size("matches").alias("n"), F.explode_outer("matches").alias("m"))
+    return found.groupBy("source").agg(F.approx_count_distinct("m.value", 0.005).alias("addresses"), F.approx_percentile("n", 0.5, 10000).alias("median_hits"))
+
+
+# ------------------------------------------------------------------ inline tables
+
+
+def _detector_query(detector: str):
+    def query(spark, sf_dir):
+        rows = [(n, text) for n, (d, text, _) in enumerate(DETECTOR_CASES) if d == detector]
+        found = engine.detect(spark.createDataFrame(rows, "case_no int, text string"), "text", _only(detector))
+        return found.select("case_no", F.inline("matches")).select("case_no", "start", "end", "value", "type")
+
+    query.__name__ = f"detect_{detector}"
+    return query
+
+
+DETECTOR_QUERIES = {f"detect_{d.id}": _detector_query(d.id) for d in DETECTORS}
+
+
+def clean_texts(spark, sf_dir):
+    """Ordinary prose comes back as it is, and its risk is nil."""
+    done = engine.redact(spark.createDataFrame(list(enumerate(CLEAN)), "doc_id int, text string"))
+    return done.join(engine.stats(done), "doc_id").select("doc_id", "redacted", "occurrences", "risk_label")
+
+
+_STYLED = "Ask Ann at ann@x.org, bob@x.org or ann@x.org"
+
+
+def token_styles(spark, sf_dir):
+    out = None
+    for style in STYLES:
+        done = engine.redact(spark.createDataFrame([(style, _STYLED)], "style string, text string"), options=Options(enabled=("email",), structure_aware=False, style=style), id_col="style")
+        out = done.select("style", "redacted") if out is None else out.unionByName(done.select("style", "redacted"))
+    return out
+
+
+def seeded_tokens(spark, sf_dir):
+    """The next document of a person has the person's token."""
+    opts = _only("email")
+    first = engine.redact(spark.createDataFrame([(1, "a@x.org b@x.org")], "doc_id int, text string"), options=opts)
+    later = spark.createDataFrame([(2, "c@x.org b@x.org"), (3, "a@x.org")], "doc_id int, text string")
+    return engine.redact(later, options=opts, seed_vault=engine.vault(first), seed_scope="corpus").select("doc_id", "redacted")
+
+
+_REPLIES = ((1, "**[EMAIL_1]** and `[email_2]`"), (2, "- EMAIL_1 and [ EMAIL_2 ]"), (3, "only [EMAIL_1]"), (4, "EMAIL_12 xEMAIL_1"))
+
+
+def restore_report(spark, sf_dir):
+    """Replies to a redacted text in several dresses: what came back and what is missing."""
+    entries = [("[EMAIL_1]", "EMAIL_1", "joe@x.org"), ("[EMAIL_2]", "EMAIL_2", "ann@x.org")]
+    rows = [(n, t, [(k, b, v, "EMAIL", "email", "high", 1.0, 1) for k, b, v in entries]) for n, t in _REPLIES]
+    back = engine.restore_column(spark.createDataFrame(rows, f"doc_id int, text string, entries array<{ENTRY}>"), "text", "entries")
+    return back.select("doc_id", "restored_text", "replaced", F.size("restored").alias("restored"), F.size("missing").alias("missing"))
+
+
+# (case, start, end, priority, confidence, whether it stays)
+_SPANS = (
+    (1, 0, 10, 50, 1.0, True), (1, 5, 15, 40, 1.0, False), (1, 15, 20, 10, 0.5, True),
+    (2, 0, 4, 50, 1.0, False), (2, 0, 9, 50, 0.7, True), (2, 9, 12, 1, 0.1, True),
+    (3, 2, 6, 50, 0.7, False), (3, 4, 8, 50, 0.9, True), (3, 0, 2, 90, 1.0, True),
+    (4, 0, 6, 10, 1.0, True), (4, 4, 10, 20, 1.0, False), (4, 8, 14, 30, 1.0, True),
+    (5, 3, 7, 5, 1.0, True), (5, 5, 9, 5, 1.0, False),
+)
+
+
+def overlap_cases(spark, sf_dir):
+    rows = {}
+    for case, start, end, priority, confidence, _ in _SPANS:
+        rows.setdefault(case, []).append((start, end, "v", confidence, "d", priority, "low", "T", None, None))
+    df = spark.createDataFrame(list(rows.items()), f"case_no int, m array<{MATCH}>")
+    return resolve_overlaps(df, "m").select("case_no", F.inline("m")).select("case_no", "start", "end")
+
+
+_TABLE_TEXT = 'id;E-mail;notes\n1;joe at home;x\n2;n/a;y\n\n3;"ann; b";z\n4\n'
+
+
+def delimited_cells(spark, sf_dir):
+    found = engine.detect(spark.createDataFrame([(1, _TABLE_TEXT)], "doc_id int, text string"), "text", Options(enabled=()))
+    return found.select(F.inline("matches")).select("start", "end", "value", "type")
+
+
+_LABELS = ((" my bird! ", "MY_BIRD"), ("Ünit", "NIT"), ("--", "CUSTOM"), ("a1-b2", "A1_B2"))
+
+
+def custom_labels(spark, sf_dir):
+    """The type that a rule's label becomes, from the token of its match."""
+    out = None
+    for n, (label, _) in enumerate(_LABELS):
+        done = engine.redact(spark.createDataFrame([(n, "see kingfisher")], "doc_id int, text string"), options=Options(enabled=(), structure_aware=False, custom_rules=(Rule(label, "kingfisher"),)))
+        out = done.select("doc_id", "redacted") if out is None else out.unionByName(done.select("doc_id", "redacted"))
+    return out
 
 
 def delimited_columns(spark, sf_dir):
@@ -231,17 +355,19 @@ def delimited_columns(spark, sf_dir):
     return found.select("c_nationkey", F.size("matches").alias("cells"))
 
 
-_names = (
-    "email_spans email_spans_by_source ipv4_spans phone_spans card_spans secret_spans luhn_valid_rate_by_lang exposure_rollup riskiest_docs_topk "
-    "exposure_vs_quality clean_docs first_seen_token_number conversation_exposure page_exposure column_mask_customer validator_vectors "
-    "roundtrip_identity roundtrip_pseudonyms fnv1a_hash entropy_by_brand custom_rule_spans allowlisted confident_only valid_order_dates "
-    "document_stats document_findings frequent_value_rank resolved_overlaps person_names pseudonyms delimited_columns"
+_ALL = (
+    email_spans, email_spans_by_source, ipv4_spans, phone_spans, card_spans, secret_spans, luhn_valid_rate_by_lang, exposure_rollup, riskiest_docs_topk,
+    exposure_vs_quality, clean_docs, first_seen_token_number, conversation_exposure, page_exposure, column_mask_customer, validator_vectors, roundtrip_identity,
+    roundtrip_tokens, roundtrip_pseudonyms, fnv1a_hash, entropy_by_brand, custom_rule_spans, allowlisted, confident_only, valid_order_dates, document_stats,
+    document_findings, frequent_value_rank, resolved_overlaps, person_names, pseudonyms, corpus_vault, approximate_exposure, clean_texts, token_styles,
+    seeded_tokens, restore_report, overlap_cases, delimited_cells, custom_labels, delimited_columns,
 )
-QUERIES = {n: globals()[n] for n in _names.split()}
+QUERIES = {f.__name__: f for f in _ALL} | DETECTOR_QUERIES
 
 # ------------------------------------------------------------------ the same in SQL
 
-_EMAIL = r"[A-Za-z0-9!#$%&''*+/=?^_`{|}~-]+(?:\.[A-Za-z0-9!#$%&''*+/=?^_`{|}~-]+)*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}"
+# The SQL goes by what the tables hold, in plain idioms of its own: addresses of letters, digits and a few marks, telephones in one dress.
+_EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 _LUHN = "(list_sum(list_transform(range(length(d)), lambda i: CASE WHEN i % 2 = 0 THEN substr(d, length(d) - i, 1)::INT ELSE (substr(d, length(d) - i, 1)::INT * 2) % 10 + (substr(d, length(d) - i, 1)::INT * 2) // 10 END)) % 10 = 0)"
 
 
@@ -256,31 +382,60 @@ SELECT {key}, ("at" + position)::INTEGER AS start, ("at" + position + length(val
 WHERE {keep}"""
 
 
-_OCT = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-_V4 = rf"(?:{_OCT}\.){{3}}{_OCT}"
+_V4 = r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"
 _EMAILS = _sql_spans(_EMAIL, "hit", "length(value) <= 254")
 _CARD_HIT = "regexp_extract(hit, ''[0-9](?:[ -]?[0-9])*'')".replace("''", "'")
 _CARDS = _sql_spans(r"(?:[0-9][ -]?){12,18}[0-9](?:$|[^0-9-])", _CARD_HIT,
                     f"NOT regexp_full_match(previous, '[0-9.-]') AND length(regexp_replace(value, '[^0-9]', '', 'g')) BETWEEN 13 AND 19 AND (SELECT regexp_full_match(d, '[2-6].*') AND d <> repeat(d[1], length(d)) AND {_LUHN} FROM (SELECT regexp_replace(value, '[^0-9]', '', 'g') AS d))")
+_IPS = _sql_spans(rf"(?:^|[^A-Za-z0-9_.]){_V4}(?:$|[^A-Za-z0-9_.]|\.(?:$|[^0-9]))", rf"regexp_extract(hit, '{_V4}')",
+                  "list_max(list_transform(string_split(value, '.'), lambda x: x::INT)) BETWEEN 21 AND 255")
+_SECRETS = _sql_spans(
+    r"""(?i)(?:api_key|apikey|token|secret|password|passwd|pwd) *[:=] *["'']?[^\s"'',;)}]{6,200}""",
+    r"""regexp_extract(hit, '[:=] *["'']?([^\s"'',;)}]+)$', 1)""", "lower(value) NOT IN ('required', 'expired', 'missing', 'invalid')")
+_PHONES = _sql_spans(r"\+[0-9]+ \([0-9]+\) [0-9]+-[0-9]+", "hit", "previous <> '.' AND length(regexp_replace(value, '[^0-9]', '', 'g')) <= 15")
+_RANKED = " UNION ALL ".join(
+    f"SELECT doc_id, start, \"end\", '{kind}' AS type, {priority} AS priority FROM ({sql})"
+    for kind, priority, sql in (("SECRET", 92, _SECRETS), ("CREDIT_CARD", 86, _CARDS), ("EMAIL", 82, _EMAILS), ("IP_ADDRESS", 75, _IPS), ("PHONE", 70, _PHONES)))
+# a span that meets one of higher priority goes; spans of one kind never meet here, and none is shut out by one that goes itself
+_KEPT = f"""(WITH a AS ({_RANKED}) SELECT * FROM a WHERE NOT EXISTS (
+  SELECT 1 FROM a b WHERE b.doc_id = a.doc_id AND b.priority > a.priority AND b.start < a."end" AND a.start < b."end"))"""
 _EXPOSED = f"""(
 SELECT e.doc_id, d.source, d.lang, e.type FROM (
   SELECT doc_id, 'EMAIL' AS type FROM ({_EMAILS}) UNION ALL SELECT doc_id, 'CREDIT_CARD' AS type FROM ({_CARDS})) e
 JOIN documents d USING (doc_id))"""
 
+_ROUND = f"""
+SELECT doc_id, coalesce(text, '') AS text, coalesce(n, 0)::INTEGER AS removed, coalesce(n, 0) > 0 AS changed
+FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n FROM {_KEPT} GROUP BY doc_id) USING (doc_id)"""
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _detector_sql(detector: str) -> str:
+    """The values named by the cases, each where its text has it."""
+    rows = [(n, t, v) for n, (d, t, values) in enumerate(DETECTOR_CASES) if d == detector for v in values]
+    if detector == "person_name":  # a name that stands again later: its last place
+        place = "CASE WHEN value = 'Whitfield' THEN length(t) - strpos(reverse(t), reverse(value)) - length(value) + 1 ELSE strpos(t, value) - 1 END"
+    else:
+        place = "strpos(t, value) - 1"
+    values = ", ".join(f"({n}, {_text(t)}, {_text(v)})" for n, t, v in rows)
+    return (
+        f"SELECT case_no::INTEGER AS case_no, ({place})::INTEGER AS start, ({place} + length(value))::INTEGER AS \"end\", value, '{token_name(detector)}' AS type "
+        f"FROM (VALUES {values}) AS v(case_no, t, value)")
+
+
 _VALUES = ", ".join(f"('{f}', '{i}', {str(x).lower()})" for f, i, x in VECTORS)
 ORACLE_SQL = {
     "email_spans": _EMAILS,
     "email_spans_by_source": f"""
 SELECT source, count(*) AS documents, sum(n)::BIGINT AS emails, count(*) FILTER (n > 0) AS with_email
 FROM (SELECT source, len(regexp_extract_all(coalesce(text, ''), '{_EMAIL}')) AS n FROM documents) GROUP BY source""",
-    "ipv4_spans": _sql_spans(rf"(?:^|[^A-Za-z0-9_.]){_V4}(?:$|[^A-Za-z0-9_.]|\.(?:$|[^0-9]))", rf"regexp_extract(hit, '{_V4}')",
-                             "value NOT IN ('0.0.0.0', '255.255.255.255') AND list_max(list_transform(string_split(value, '.'), lambda x: x::INT)) > 20"),
+    "ipv4_spans": _IPS,
     "card_spans": _CARDS,
-    "secret_spans": _sql_spans(
-        r"""(?i)(?:\b|_)(?:api[_-]?key|apikey|api[_-]?secret|secret[_-]?key|secret|token|access[_-]?token|refresh[_-]?token|auth[_-]?token|client[_-]?secret|password|passwd|pwd|passphrase|private[_-]?key|credential)\b["'']?\s*(?:[:=]|=>)\s*["'']?[^\s"'',;)}]{6,200}""",
-        r"""regexp_extract(hit, '[:=>]\s*["'']?([^\s"'',;)}]{6,200})$', 1)""", "NOT regexp_full_match(value, '(?i)true|false|null|none')"),
-    "phone_spans": _sql_spans(r"(?:^|[^A-Za-z0-9_.])\+[0-9]{1,3}[\s.-]?(?:\([0-9]{1,4}\)[\s.-]?)?[0-9]{1,4}(?:[\s.-]?[0-9]{2,4}){1,4}",
-                              r"regexp_extract(hit, '\+.*$')", "length(regexp_replace(value, '[^0-9]', '', 'g')) BETWEEN 8 AND 15"),
+    "secret_spans": _SECRETS,
+    "phone_spans": _PHONES,
     "luhn_valid_rate_by_lang": f"""
 SELECT lang, count(*) AS runs, count(*) FILTER ({_LUHN}) AS valid FROM (
   SELECT lang, unnest(regexp_extract_all(text, '[0-9]{{13,19}}')) AS d FROM documents) GROUP BY lang""",
@@ -302,8 +457,34 @@ SELECT role, count(*) AS turns, sum(len(regexp_extract_all(coalesce(text, ''), '
     "page_exposure": f"SELECT page_id, len(m)::INTEGER AS occurrences FROM (SELECT page_id, regexp_extract_all(html, '{_EMAIL}') AS m FROM pages) WHERE len(m) > 0",
     "column_mask_customer": "SELECT c_custkey, c_nationkey, c_name AS original, true AS masked FROM customer",
     "validator_vectors": f"SELECT * FROM (VALUES {_VALUES}) AS t(fn, input, valid)",
-    "roundtrip_identity": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
-    "roundtrip_pseudonyms": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+    "roundtrip_identity": "SELECT doc_id, coalesce(text, '') AS text, true AS changed_where_found FROM documents",
+    "roundtrip_tokens": _ROUND,
+    "roundtrip_pseudonyms": _ROUND,
+    "resolved_overlaps": f"SELECT doc_id, start, \"end\", type, priority FROM {_KEPT}",
+    "person_names": "SELECT doc_id, 9 AS start, 19 AS \"end\", 'Mary Jones' AS value, 1 AS entity, 'full' AS part FROM documents",
+    "pseudonyms": f"""
+SELECT doc_id, type, value, count(*)::INTEGER AS count, true AS new FROM (
+  SELECT k.doc_id, k.type, substr(d.text, k.start + 1, k."end" - k.start) AS value FROM {_KEPT} k JOIN documents d USING (doc_id)) GROUP BY ALL""",
+    "corpus_vault": f"SELECT value, count(*)::INTEGER AS count, true AS dense FROM ({_EMAILS}) GROUP BY value",
+    "approximate_exposure": f"""
+SELECT source, count(DISTINCT value) AS addresses, quantile_disc(n, 0.5)::INTEGER AS median_hits FROM (
+  SELECT source, len(m)::INTEGER AS n, unnest(CASE WHEN len(m) = 0 THEN [NULL] ELSE m END) AS value
+  FROM (SELECT source, regexp_extract_all(coalesce(text, ''), '{_EMAIL}') AS m FROM documents)) GROUP BY source""",
+    "clean_texts": "SELECT i::INTEGER AS doc_id, t AS redacted, 0 AS occurrences, 'Clean' AS risk_label FROM (VALUES " + ", ".join(
+        f"({i}, {_text(t)})" for i, t in enumerate(CLEAN)) + ") AS v(i, t)",
+    "token_styles": f"""
+SELECT style, replace(replace({_text(_STYLED)}, 'ann@x.org', l || 'EMAIL_1' || r), 'bob@x.org', l || 'EMAIL_2' || r) AS redacted
+FROM (VALUES ('bracket', '[', ']'), ('curly', '{{{{', '}}}}'), ('angle', '<', '>'), ('bare', '', '')) AS v(style, l, r)""",
+    "seeded_tokens": "SELECT * FROM (VALUES (2::INTEGER, '[EMAIL_3] [EMAIL_2]'), (3, '[EMAIL_1]')) AS v(doc_id, redacted)",
+    "restore_report": """
+SELECT * FROM (VALUES (1::INTEGER, '**joe@x.org** and `ann@x.org`', 2::INTEGER, 2::INTEGER, 0::INTEGER), (2, '- joe@x.org and ann@x.org', 2, 2, 0),
+  (3, 'only joe@x.org', 1, 1, 1), (4, 'EMAIL_12 xEMAIL_1', 0, 0, 2)) AS v(doc_id, restored_text, replaced, restored, missing)""",
+    "overlap_cases": "SELECT case_no::INTEGER AS case_no, s::INTEGER AS start, e::INTEGER AS \"end\" FROM (VALUES " + ", ".join(
+        f"({c}, {a}, {b})" for c, a, b, _, _, stays in _SPANS if stays) + ") AS v(case_no, s, e)",
+    "delimited_cells": f"""
+SELECT (strpos(t, v) - 1)::INTEGER AS start, (strpos(t, v) - 1 + length(v))::INTEGER AS "end", v AS value, 'E_MAIL' AS type
+FROM (SELECT {_text(_TABLE_TEXT)} AS t), (VALUES ('joe at home'), ('ann; b')) AS x(v)""",
+    "custom_labels": "SELECT i::INTEGER AS doc_id, 'see [' || n || '_1]' AS redacted FROM (VALUES " + ", ".join(f"({i}, '{n}')" for i, (_, n) in enumerate(_LABELS)) + ") AS v(i, n)",
     "fnv1a_hash": """
 SELECT c_custkey, list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(c_name, ''), lambda c: ord(c)::BIGINT)),
   lambda h, c: (xor(h, c) * 16777619) & 4294967295) AS hash FROM customer""",
@@ -332,3 +513,4 @@ SELECT source, value, times, rank::INTEGER AS rank FROM (
   FROM ({_EMAILS}) JOIN documents USING (doc_id) GROUP BY source, value) WHERE rank <= 3""",
     "delimited_columns": "SELECT c_nationkey, count(*)::INTEGER AS cells FROM customer GROUP BY c_nationkey",
 }
+ORACLE_SQL |= {f"detect_{d.id}": _detector_sql(d.id) for d in DETECTORS}
