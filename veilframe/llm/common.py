@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where none is named."""
+    """The cluster's shared folder. One of our own only where none is named and all executors are on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="veilframe-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -30,7 +32,7 @@ BATCH_ROWS = 1000
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound what a Python worker holds at once, unless the session bounds it more."""
+    """Bound what a Python worker holds at once, unless the session bounds it more. The setting stays in the session, as results are lazy."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
@@ -45,6 +47,7 @@ def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = path or fresh_path(spark, name)
     df.write.mode("overwrite").parquet(path)
+    delete_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -53,9 +56,16 @@ def materialise_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> Da
     table = f"veilframe_{name}_{uuid.uuid4().hex}".replace("-", "_")
     path = fresh_path(df.sparkSession, name)
     df.write.bucketBy(buckets, key).option("path", path).format("parquet").saveAsTable(table)
+    delete_at_end(df.sparkSession, path)
     return df.sparkSession.table(table)
 
 
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Have the driver delete an intermediate when it ends; results are lazy, so nothing knows an earlier time."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
