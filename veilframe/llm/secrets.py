@@ -3,12 +3,16 @@
 Every version of a text is addressed by its SHA-256. A ledger table holds, for
 each blob and rule version, the spans found; a run scans only the pairs that the
 ledger doesn't have and only one of equal texts, appends what it found, and joins
-the ledger back to all paths. Offsets are code points, the end is exclusive.
+the ledger back to all paths. A run's findings and its marks of what it has scanned are
+one write, and findings are a set when read, so a run that was cut short, or two runs at
+once, change no result. Offsets are code points, the end is exclusive.
 
 The gaps between matches (``split``) and the matches themselves
 (``regexp_extract_all``) come from the same left-to-right search, so running sums
 of their lengths are the offsets. Cases: a null text is an empty blob without
-findings; repeated rows and null ids are paths of their own.
+findings; repeated rows and null ids are paths of their own; a very long text is one
+blob like any other; an empty table gives an empty result and leaves an empty ledger.
+Columns other than the two named are ignored.
 """
 
 from __future__ import annotations
@@ -107,13 +111,13 @@ def find_secrets(
     """One row per row of ``docs``: doc_id, blob_id, spans array<struct<kind,ord,start,end>> by start and kind.
 
     ``ledger`` is a folder that later runs may name again; by default a new one in the shared folder.
-    It has two tables: ``seen`` (blob_id, rule_key), every pair scanned, and ``found``.
+    It has a row without spans for every pair scanned (blob_id, rule_key), and one with spans for each with a finding.
     """
     spark = docs.sparkSession
     ledger = (ledger or fresh_path(spark, "secret-ledger")).rstrip("/")
     versions = docs.select(F.col(id_col).alias("path_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     owned = _owned(versions, "secret-paths")
-    seen = _read(spark, f"{ledger}/seen", "blob_id string, rule_key string")
+    seen = _read(spark, ledger, LEDGER).where("spans IS NULL").select("blob_id", "rule_key")
     blobs = owned.groupBy("blob_id").agg(F.min("path_id").alias("keeper"), F.count(F.lit(1)).alias("paths"))
     keys = [_rule_key(r) for r in rules]
     known = seen.where(F.col("rule_key").isin(keys)).groupBy("blob_id").agg(F.collect_set("rule_key").alias("done"))
@@ -134,15 +138,15 @@ def find_secrets(
             idle, F.col("path_id").eqNullSafe(F.col("idle_id")) & (F.col("blob_id") == F.col("idle_blob")), "left_anti"
         )
         fresh = fresh.unionByName(scan(work.select("blob_id", "text"), tuple(todo)))
-    fresh.dropDuplicates(["blob_id", "rule_key"]).write.mode("append").parquet(f"{ledger}/found")
-    lacking.select("blob_id", F.explode("todo").alias("rule_key")).write.mode("append").parquet(f"{ledger}/seen")
+    marks = lacking.select("blob_id", F.explode("todo").alias("rule_key"))
+    fresh.unionByName(marks, allowMissingColumns=True).write.mode("append").parquet(ledger)
     order = F.create_map(*[F.lit(x) for n, r in enumerate(rules) for x in (r.kind, n)])
     found = (
-        spark.read.schema(LEDGER).parquet(f"{ledger}/found")
-        .where(F.col("rule_key").isin([_rule_key(r) for r in rules]))
+        spark.read.schema(LEDGER).parquet(ledger)
+        .where(F.col("spans").isNotNull() & F.col("rule_key").isin([_rule_key(r) for r in rules]))
         .select("blob_id", "kind", F.explode("spans").alias("s"))
         .groupBy("blob_id")
-        .agg(F.array_sort(F.collect_list(F.struct("s.start", order[F.col("kind")].alias("ord"), "kind", "s.end"))).alias("spans"))
+        .agg(F.array_sort(F.collect_set(F.struct("s.start", order[F.col("kind")].alias("ord"), "kind", "s.end"))).alias("spans"))
     )
     empty = F.array().cast("array<struct<start:int,ord:int,kind:string,end:int>>")
     return owned.join(found, "blob_id", "left").select(F.col("path_id").alias("doc_id"), "blob_id", F.coalesce("spans", empty).alias("spans"))
