@@ -29,7 +29,7 @@ def _ranges(rows: DataFrame, splitters: np.ndarray) -> DataFrame:
 
     @F.pandas_udf("int")
     def place(key: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(splitters, key.to_numpy().astype("S64"), side="right").astype("int32"))
+        return pd.Series(np.searchsorted(splitters, key.to_numpy().astype("S80"), side="right").astype("int32"))
 
     return rows.withColumn("rng", place("key"))
 
@@ -47,6 +47,8 @@ def shard(
         F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("text_crc32"),
         F.concat(F.md5(F.coalesce(text, F.lit(""))), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("key"),
     )
+    # a number of its own ends a key: very many rows equal in id and text are cut like any others
+    rows = rows.withColumn("key", F.concat("key", F.lpad(F.hex(F.xxhash64(F.monotonically_increasing_id())), 16, "0")))
     rows = materialise(rows, "shard-keys")
     n, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     want = max(shards * ranges_per_shard, -(-n // rows_per_range))
@@ -55,7 +57,7 @@ def shard(
     drawn = rows.where(u < F.col("size") * rate).select("key", "size").orderBy("key").collect()
     weight = np.cumsum([max(r["size"], 1 / rate) for r in drawn]) if drawn else np.zeros(0)
     at = np.searchsorted(weight, np.arange(1, want) * (weight[-1] / want)) if drawn else []
-    splitters = np.unique(np.array([drawn[i]["key"] for i in at], "S64"))
+    splitters = np.unique(np.array([drawn[i]["key"] for i in at], "S80"))
     for again in range(rounds):
         held = _ranges(rows, splitters).groupBy("rng").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("bytes")).collect()
         most_rows, most_bytes = max(rows_per_range, 4 * n // want), 4 * total / want
@@ -64,7 +66,7 @@ def shard(
             break
         pick = F.create_map(*[F.lit(x) for k, v in over.items() for x in (k, 4.0 * oversample / v)])
         more = _ranges(rows, splitters).where(u < F.try_element_at(pick, F.col("rng"))).select("key").collect()
-        grown = np.unique(np.concatenate([splitters, np.array([r["key"] for r in more], "S64")]))
+        grown = np.unique(np.concatenate([splitters, np.array([r["key"] for r in more], "S80")]))
         if len(grown) == len(splitters):
             break
         splitters = grown
@@ -85,8 +87,9 @@ def shard(
         )
     )
     placed = materialise(placed, "shard-places")
-    first = placed.groupBy("shard").agg(F.min("place").alias("first"))  # a row for each shard
-    return placed.join(first, "shard").select(
+    first = placed.groupBy("shard").agg(F.min("place").alias("first"))
+    # a row for each shard, ``shards`` at most
+    return placed.join(F.broadcast(first), "shard").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
         (F.col("place") - F.col("first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )
