@@ -82,7 +82,7 @@ def _digests(enc: tiktoken.Encoding, ids: list[int]) -> tuple[int, str, str]:
 
 def encode_documents(
     docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text",
-    chunk: int = 65536, overlap: int = 256, with_ids: bool = False,
+    chunk: int = 8192, overlap: int = 256, with_ids: bool = False,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, ids_sha256, decoded_sha256,
     and with ``with_ids`` the ids themselves (array<int>)."""
