@@ -29,6 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UND = "und"
+#: Characters of a text that are worked on at once.
+SLICE = 1 << 20
 
 
 @functools.lru_cache(maxsize=1)
@@ -47,20 +49,27 @@ def presence(text: str | None, bits: int, orders: int) -> np.ndarray | None:
     """Places (sorted, distinct) of the n-grams of a text; None if it has no letters."""
     if not text:
         return None
-    cps = _fold()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
-    letters = cps != 32
-    if not letters.any():
+    seen, held, after_letter, any_letter = np.zeros(1 << bits, bool), np.array([32], np.uint64), False, False
+
+    def mark(cps: np.ndarray) -> None:
+        code = np.zeros(len(cps), np.uint64)
+        for n in range(1, min(orders, len(cps)) + 1):
+            code = code[: len(cps) - n + 1] * np.uint64(0x110000) + cps[n - 1 :] + np.uint64(1)
+            seen[(code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)] = True
+
+    for at in range(0, len(text), SLICE):
+        cps = _fold()[np.frombuffer(text[at : at + SLICE].encode("utf-32-le", "surrogatepass"), "<u4")]
+        letters = cps != 32
+        keep = letters.copy()
+        keep[1:] |= letters[:-1]
+        keep[0] |= after_letter  # the blank after a letter that ended the slice before
+        after_letter, any_letter = bool(letters[-1]), any_letter or bool(letters.any())
+        held = np.concatenate((held, cps[keep].astype(np.uint64)))
+        mark(held)
+        held = held[max(0, len(held) - orders + 1) :]
+    if not any_letter:
         return None
-    keep = letters.copy()
-    keep[1:] |= letters[:-1]
-    cps = np.concatenate(([32], cps[keep], [32])).astype(np.uint64)
-    seen = np.zeros(1 << bits, bool)
-    code = np.zeros(len(cps), np.uint64)
-    for n in range(1, orders + 1):
-        code = code[: len(cps) - n + 1] * np.uint64(0x110000) + cps[n - 1 :] + np.uint64(1)
-        if not len(code):
-            break
-        seen[(code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)] = True
+    mark(np.concatenate((held, np.array([32], np.uint64))))
     return np.flatnonzero(seen)
 
 
