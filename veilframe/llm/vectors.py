@@ -1,7 +1,9 @@
 """Operators 1 and 8: near-duplicate and nearest vectors.
 
 A vector takes part if it is not null, not zero and all its components are finite
-numbers; vectors of other lengths never meet. Equal vectors are collapsed first.
+numbers; vectors of other lengths never meet. Equal vectors are collapsed first. A row
+is a vector of its own for operator 1, also where it repeats another's id; operator 8
+takes rows equal in id and vector as one.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise
+from .common import connected_components, hash_order, materialise
 from .local import star_labels
 
 
@@ -86,40 +88,41 @@ def near_vectors(
     the target recall is one, whatever the sample was. Pairs of the cells visited are verified by exact
     cosines, ``block`` residents against ``block`` visitors at a time, so that a cell with a third of
     all rows is many tasks; what leaves a task is a count for each vector and a spanning star.
+    The centres of a half are about the root of the number of cells of ``per_cell`` vectors, the sample 16 rows for each.
+    Lengths of ``per_cell`` vectors at most have one cell each and are verified together, however many lengths there are.
 
-    Vectors that take no part, and those with a null label or id, have no links and are kept.
+    Vectors that take no part, and those with a null label or id, have no links and are kept. A repeated row is linked with the
+    row it repeats; two vectors under one id are two rows, each with links and a component of its own.
     """
     rows = table.select(
         F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec"),
         (F.col(label_col) if label_col else F.lit(0)).cast("string").alias("label"),
     ).withColumn("fit", _usable() & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
     rows = materialise(rows, "vec-rows")
-    nodes = rows.where("fit").groupBy("label", "vec").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"))
-    nodes = materialise(nodes, "vec-nodes")
-    dims = [r[0] for r in nodes.select(F.size("vec")).distinct().limit(1001).collect()]
-    if len(dims) > 1000:
-        raise ValueError("more than 1000 lengths of vectors")
+    nodes = rows.where("fit").groupBy("label", "vec").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("copies"))
+    # numbered when it is written; an id is no name for a vector, as several may have it
+    nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "vec-nodes")
+    large = {r[0]: r[1] for r in nodes.groupBy(F.size("vec").alias("dim")).count().where(F.col("count") > per_cell).collect()}
     reach = 2 - 2 * threshold + 1e-9  # squared distance of unit vectors at the threshold
-    counts, links = None, None
-    for dim in sorted(dims):
-        own = nodes.where(F.size("vec") == dim)
-        n = own.count()
-        k = int(np.clip(round((n / per_cell) ** 0.5), 4, 64))
-        drawn = own.select("vec").orderBy(F.xxhash64(F.lit(seed), "node")).limit(sample).collect()
+    group = nodes.select(F.concat_ws(":", F.size("vec"), "label").alias("label"), "node", "copies", "vec")
+    small = group.where(~F.size("vec").isin(*large)) if large else group
+    counts = None if large and small.isEmpty() else _verified(small.withColumn("cells", F.array(F.lit(0))), threshold, block)
+    for dim, n in sorted(large.items()):
+        own = group.where(F.size("vec") == dim)
+        k = max(4, round((n / per_cell) ** 0.5))
+        drawn = own.select("vec").orderBy(hash_order(seed, F.col("vec"))).limit(max(sample, 16 * k)).collect()
         unit = _unit(np.array([r[0] for r in drawn], float))
         half = max(1, dim // 2)
         books = codebook(unit[:, :half].copy(), k, seed), codebook(unit[:, half:].copy(), k, seed + 1) if dim > 1 else np.zeros((1, 0))
-        found = _verified(own, books, half, reach, threshold, block)
+        found = _verified(_posted(own, books, half, reach), threshold, block)
         counts = found if counts is None else counts.unionByName(found)
-    if counts is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     counts = materialise(counts, "vec-found")
     links = connected_components(counts.where("tip IS NOT NULL").select(F.col("node").alias("u"), F.col("tip").alias("v")), "vec-cc")
     sums = counts.groupBy("node").agg(F.sum("n").alias("n"))
-    classes = nodes.join(sums, "node", "left").join(links, "node", "left").select(
-        F.col("label").alias("l2"), F.col("vec").alias("v2"),
-        (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id"),
-    )
+    met = nodes.join(sums, "node", "left").join(links, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    lows = met.groupBy("component").agg(F.min("low").alias("component_id"))
+    classes = met.join(lows, "component").select(
+        F.col("label").alias("l2"), F.col("vec").alias("v2"), (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component_id")
     met = rows.where("fit").join(classes, (F.col("label") == F.col("l2")) & (F.col("vec") == F.col("v2")), "left")
     out = met.select("vec_id", "n_links", "component_id").unionByName(
         rows.where("NOT fit").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
@@ -127,8 +130,8 @@ def near_vectors(
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
-def _verified(nodes: DataFrame, books, half: int, reach: float, threshold: float, block: int) -> DataFrame:
-    """Partial results (node, n, tip): links counted with copies, and a node it is linked with."""
+def _posted(nodes: DataFrame, books, half: int, reach: float) -> DataFrame:
+    """``nodes`` with the cells that each visits, its own first."""
     wide = len(books[1])
 
     def visit(batches):
@@ -144,7 +147,11 @@ def _verified(nodes: DataFrame, books, half: int, reach: float, threshold: float
             yield pd.DataFrame({"label": pdf["label"], "node": pdf["node"], "copies": pdf["copies"], "vec": pdf["vec"], "cells": cells})
 
     schema = "label string, node long, copies long, vec array<double>, cells array<int>"
-    posted = materialise(nodes.select("label", "node", "copies", "vec").mapInPandas(visit, schema), "vec-posted")
+    return materialise(nodes.select("label", "node", "copies", "vec").mapInPandas(visit, schema), "vec-posted")
+
+
+def _verified(posted: DataFrame, threshold: float, block: int) -> DataFrame:
+    """Partial results (node, n, tip): links counted with copies, and a node it is linked with."""
     home = posted.select("label", F.element_at("cells", 1).alias("cell"), "node", "copies", "vec")
     visits = posted.select("label", F.explode("cells").alias("cell"), "node", "copies", "vec", F.element_at("cells", 1).alias("own"))
     sizes = home.groupBy("label", "cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("rb"))
@@ -190,16 +197,21 @@ def nearest(
     Queries are the rows whose id is divisible by ``every``. ``pivots`` sampled vectors are the reference
     points; a vector is represented by its ``prefix`` nearest pivots in order. Within each block of
     rows, postings by pivot hold the rows that have the pivot in their prefix and its rank there. A query
-    walks the postings of its own prefix and adds up the footrule distance (a pivot missing on one side
+    (laid out for it from the orders that are worked out once and kept) walks the postings of its own prefix and adds up the footrule distance (a pivot missing on one side
     counts as rank ``prefix``); only the ``share`` of the block with the least distance, ``top`` + 1 entries at least, is reranked, by
     exact cosines. So work and candidates are the same share at every size. Blocks of rows meet blocks of
     queries by key; a block's answers are ``top`` rows a query.
 
     Equal vectors of a block are one entry with its smallest ids: no more than ``top`` + 1 of them can be
-    in an answer. Vectors that take no part are neither queries nor candidates.
+    in an answer. Vectors that take no part, and rows without an id, are neither queries nor candidates. Rows equal in id and vector
+    are one; of several vectors under one id each asks for itself, and the others are candidates for it.
     """
     rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec"))
-    rows = materialise(rows.where(_usable() & F.col("vec_id").isNotNull()), "ann-rows")
+    rows = rows.where(_usable() & F.col("vec_id").isNotNull())
+    again = materialise(rows.groupBy("vec_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("vec_id"), "ann-again")
+    if not again.isEmpty():  # only these rows are moved
+        rows = rows.join(again, "vec_id", "left_anti").unionByName(rows.join(again, "vec_id", "left_semi").distinct())
+    rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "ann-rows")
     out = "query_id long, rank int, vec_id long, score double"
     spark = table.sparkSession
     parts = None
@@ -215,7 +227,7 @@ def nearest(
         parts = found if parts is None else parts.unionByName(found)
     if parts is None:
         return spark.createDataFrame([], out)
-    best = parts.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))).alias("all"))
+    best = parts.groupBy("asker", "query_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))).alias("all"))
     return best.select("query_id", F.posexplode(F.slice("all", 1, top)).alias("rank", "x")).select(
         "query_id", (F.col("rank") + 1).cast("int").alias("rank"), "x.vec_id", (-F.col("x.s")).alias("score")
     )
@@ -259,16 +271,26 @@ def _searched(rows, marks, n, queries, every, top, prefix, share, block, query_b
     nb, nq = -(-n // block), -(-queries // query_block)
     slot = lambda m, salt: F.expr(f"cast(pmod(xxhash64({salt}, vec_id), {m}) as int)")
     spread = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    data = rows.select(slot(nb, 1).alias("b"), spread(nq).alias("q"), F.lit(False).alias("asks"), "vec_id", "vec")
-    asks = rows.where(F.col("vec_id") % every == 0).select(spread(nb).alias("b"), slot(nq, 2).alias("q"), F.lit(True).alias("asks"), "vec_id", "vec")
+
+    def ordered(batches):
+        for pdf in batches:
+            if len(pdf):
+                perms = orders(_unit(_matrix(pdf["vec"])), marks, prefix).astype("<u2")
+                yield pdf.assign(perm=[p.tobytes() for p in perms])
+
+    rows = materialise(rows.mapInPandas(ordered, "vec_id long, vec array<double>, row long, perm binary"), "ann-orders")
+    data = rows.select(slot(nb, 1).alias("b"), spread(nq).alias("q"), F.lit(False).alias("asks"), "vec_id", "row", "vec", "perm")
+    asks = rows.where(F.col("vec_id") % every == 0).select(
+        spread(nb).alias("b"), slot(nq, 2).alias("q"), F.lit(True).alias("asks"), "vec_id", "row", "vec", "perm")
+    whole = lambda perms: np.frombuffer(b"".join(perms), "<u2").reshape(len(perms), prefix).astype(np.int64)
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        ask, held = pdf[pdf["asks"]].sort_values("vec_id"), pdf[~pdf["asks"]].sort_values("vec_id")
-        none = pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        ask, held = pdf[pdf["asks"]].sort_values(["vec_id", "row"]), pdf[~pdf["asks"]].sort_values(["vec_id", "row"])
+        none = pd.DataFrame({"asker": [], "query_id": [], "vec_id": [], "score": []})
         if not len(ask) or not len(held):
             return none
         raw = _matrix(held["vec"])
-        ids = held["vec_id"].to_numpy()
+        ids, row_of = held["vec_id"].to_numpy(), held["row"].to_numpy()
         _, first, back = np.unique(raw, axis=0, return_index=True, return_inverse=True)
         order = np.argsort(first, kind="stable")  # entries by their smallest id
         entry = np.empty(len(order), np.int64)
@@ -278,7 +300,7 @@ def _searched(rows, marks, n, queries, every, top, prefix, share, block, query_b
         bounds = np.searchsorted(back[grouped], np.arange(len(order) + 1))
         x, raw_q = raw[first[order]], _matrix(ask["vec"])
         ux, uq = _unit(x), _unit(raw_q)
-        perms, asked = orders(ux, marks, prefix), orders(uq, marks, prefix)
+        perms, asked = whole(held["perm"].to_numpy()[first[order]]), whole(ask["perm"].to_numpy())
         most = max(top + 1, int(np.ceil(share * len(x))))  # the query's own entry and ``top`` others at least
         norm, norm_q = np.sqrt((x * x).sum(1)), np.sqrt((raw_q * raw_q).sum(1))
         out = []
@@ -289,7 +311,7 @@ def _searched(rows, marks, n, queries, every, top, prefix, share, block, query_b
             else:
                 limit = np.full((len(dist), 1), np.iinfo(np.int32).max)
             for i in range(len(dist)):
-                me = int(ask["vec_id"].iloc[at + i])
+                me, my_id = int(ask["row"].iloc[at + i]), int(ask["vec_id"].iloc[at + i])
                 held_in = np.flatnonzero(dist[i] <= limit[i])
                 rough = ux[held_in] @ uq[at + i]
                 k = min(len(rough), top + 1)  # the query's own entry may be one of them
@@ -300,11 +322,11 @@ def _searched(rows, marks, n, queries, every, top, prefix, share, block, query_b
                 for e, s in sorted(zip(near.tolist(), score.tolist(), strict=True), key=lambda z: (-z[1], z[0])):
                     if len(got) >= top and s < got[top - 1][0]:
                         break
-                    own = ids[grouped[bounds[e] : bounds[e + 1]]][: top + 1]
-                    got += [(s, int(v)) for v in own if v != me]
+                    own = grouped[bounds[e] : bounds[e + 1]][: top + 1]
+                    got += [(s, int(ids[v])) for v in own if row_of[v] != me]
                     got.sort(key=lambda z: (-z[0], z[1]))
-                out += [(me, v, s) for s, v in got[:top]]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]) if out else none
+                out += [(me, my_id, v, s) for s, v in got[:top]]
+        return pd.DataFrame(out, columns=["asker", "query_id", "vec_id", "score"]) if out else none
 
     both = data.unionByName(asks)
-    return both.groupBy("b", "q").applyInPandas(search, "query_id long, vec_id long, score double")
+    return both.groupBy("b", "q").applyInPandas(search, "asker long, query_id long, vec_id long, score double")
