@@ -4,17 +4,19 @@ A document may belong to several sources. Documents are aggregated by membership
 pattern; a network routes each pattern's word capacity to the quotas of its
 sources, in layers: the first use of a word is free, the second costs more than
 the first, the third more than the second. The network has one node for each
-pattern and source, however many documents there are, and is solved on the driver
-(``max_patterns`` bounds it). A pattern that is to give f words of its s gives
+pattern and source, however many documents there are, and is solved on the driver;
+sources that no pattern joins are solved apart, each by one short search, so that what grows
+beyond a moment is only a network of very many patterns that overlap. Where every document has one
+source, each network is one arc and the flow settles how often a source is repeated. A pattern that is to give f words of its s gives
 every document floor(f / s) times, and then seeded documents once more until the
-remainder is met: in the order of a seeded hash as long as they fit, and then the
+remainder is met: in the order of a seeded hash of id and text as long as they fit, and then the
 one document whose size is nearest to what is still missing.
 
 The order within a pattern comes from sums over hash buckets and a running sum
 inside the one bucket where the remainder is crossed, so no task sees a whole
 source. Cases: a null text has size 0 and is never taken; null sources are a
-source of their own, last in order; equal ids share their fate but each counts
-with its own size.
+source of their own, last in order; rows equal in id and text have one key and are shared by their number: so many of
+them are taken as fit. An empty table gives an empty result. Columns other than the three named are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 BUCKETS = 4096
+#: Patterns up to which tables of a row or two for each are broadcast: some 20 MB. With more they are joined by shuffles.
+BROADCAST = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -129,26 +133,26 @@ def _flow(patterns: dict[tuple[int, ...], int], quotas: dict[int, int], layers:
     return {k: e[3][1] for k, e in used.items() if e[3][1]}
 
 
-def _rank_key(doc_id: Column, seed: int) -> Column:
-    """A seeded order that SQL engines share: the md5 of id and seed."""
-    return F.md5(F.concat_ws(":", doc_id.cast("string"), F.lit(str(seed))).cast("binary"))
+def _rank_key(doc_id: Column, text: Column, seed: int) -> Column:
+    """A seeded order that SQL engines share: the md5 of id, seed and the text's md5."""
+    return F.md5(F.concat_ws(":", doc_id.cast("string"), F.lit(str(seed)), F.md5(F.coalesce(text, F.lit("")))).cast("binary"))
 
 
-def _bucketed(docs: DataFrame, seed: int) -> DataFrame:
-    return docs.withColumn("rank_key", _rank_key(F.col("doc_id"), seed)).withColumn("bucket", F.substring("rank_key", 1, 3))
+def _small(table: DataFrame, rows: int) -> DataFrame:
+    """A table of a row or two for each pattern, broadcast while its number of patterns is known to be small."""
+    return F.broadcast(table) if rows <= BROADCAST else table
 
 
-def selection_rules(rows: DataFrame, wants: DataFrame, times: int) -> DataFrame:
-    """Rules (pattern, base, cut_key, pick_key), one for each pattern, that bring the words taken of
-    ``rows`` (doc_id, pattern, size, rank_key, bucket) near ``wants`` (pattern, pattern_size, want).
+def selection_rules(rows: DataFrame, wants: DataFrame, times: int, patterns: int) -> DataFrame:
+    """Rules (pattern, base, cut_key, part_key, part_rows, pick_key, pick_rows), one for each pattern, that bring the words taken of
+    ``rows`` (pattern, size, rank_key, bucket) near ``wants`` (pattern, pattern_size, want).
 
-    A document is taken ``base`` times, and once more if its key is at most ``cut_key`` or equals
-    ``pick_key``. Patterns are of bounded number, so tables with a row for each are broadcast.
+    A document is taken ``base`` times, and once more if its key is at most ``cut_key``, if it is one of the first
+    ``part_rows`` of the rows that have ``part_key``, or the first ``pick_rows`` of ``pick_key``.
     """
-    wants = F.broadcast(
+    wants = _small(
         wants.withColumn("base", F.expr(f"if(pattern_size = 0, 0, least(want div pattern_size, {times}))"))
-        .select("pattern", "base", F.expr(f"if(base >= {times}, 0, want - base * pattern_size)").alias("rest"))
-    )
+        .select("pattern", "base", F.expr(f"if(base >= {times}, 0, want - base * pattern_size)").alias("rest")), patterns)
     sums = rows.groupBy("pattern", "bucket").agg(F.sum("size").alias("words"))
     run = Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = sums.withColumn("upto", F.sum("words").over(run)).join(wants, "pattern")  # at most BUCKETS rows a pattern
@@ -157,23 +161,57 @@ def selection_rules(rows: DataFrame, wants: DataFrame, times: int) -> DataFrame:
     cross = materialise(cross, "mix-cross")
     inner = Window.partitionBy("pattern").orderBy("rank_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     fine = (
-        rows.join(F.broadcast(cross), ["pattern", "bucket"]).groupBy("pattern", "before", "rest", "rank_key").agg(F.sum("size").alias("size"))
-        .withColumn("upto", F.col("before") + F.sum("size").over(inner)).where("upto <= rest")
-        .groupBy("pattern").agg(F.max("rank_key").alias("last"), F.max("upto").alias("got"))
+        rows.join(_small(cross, patterns), ["pattern", "bucket"]).groupBy("pattern", "before", "rest", "rank_key")
+        .agg(F.sum("size").alias("size"), F.max("size").alias("unit")).withColumn("upto", F.col("before") + F.sum("size").over(inner))
     )
+    fine = materialise(fine, "mix-fine")
+    last = fine.where("upto <= rest").groupBy("pattern").agg(F.max("rank_key").alias("last"))
+    # the rows of the key where the remainder is passed: as many as fit
+    part = fine.where("upto > rest AND upto - size <= rest").select(
+        "pattern", F.col("rank_key").alias("part_key"), F.expr("(rest - (upto - size)) div unit").alias("part_rows"),
+        F.expr("rest - (upto - size) - unit * ((rest - (upto - size)) div unit)").alias("gap"))
     # the prefix of the bucket itself is above all keys before it and below all keys in it
-    cuts = materialise(
-        cross.join(F.broadcast(fine), "pattern", "left").select(
-            "pattern", F.coalesce("last", "bucket").alias("cut_key"), (F.col("rest") - F.coalesce("got", "before")).alias("gap")),
-        "mix-cuts",
-    )
+    cuts = cross.join(_small(last, patterns), "pattern", "left").join(_small(part, patterns), "pattern")
+    cuts = materialise(cuts.select("pattern", F.coalesce("last", "bucket").alias("cut_key"), "part_key", "part_rows", "gap"), "mix-cuts")
     # what the order leaves short is met by the one document whose size is nearest to it
     picks = (
-        rows.join(F.broadcast(cuts), "pattern").where("rank_key > cut_key AND size > 0 AND abs(gap - size) < gap")
+        rows.join(_small(cuts, patterns), "pattern").where("rank_key > cut_key AND size > 0 AND abs(gap - size) < gap")
         .groupBy("pattern").agg(F.min(F.struct(F.expr("abs(gap - size)").alias("off"), "rank_key"))["rank_key"].alias("pick_key"))
     )
-    rules = wants.select("pattern", "base").join(F.broadcast(cuts), "pattern", "left").join(F.broadcast(picks), "pattern", "left")
-    return materialise(rules.select("pattern", "base", "cut_key", "pick_key"), "mix-rules")
+    rules = wants.select("pattern", "base").join(_small(cuts, patterns), "pattern", "left").join(_small(picks, patterns), "pattern", "left")
+    same = F.coalesce(F.col("pick_key") == F.col("part_key"), F.lit(False))
+    return materialise(rules.select(
+        "pattern", "base", "cut_key", "part_key", (F.col("part_rows") + same.cast("long")).alias("part_rows"),
+        F.when(~same, F.col("pick_key")).alias("pick_key")), "mix-rules")
+
+
+def _special(rows: DataFrame, rules: DataFrame, patterns: int) -> DataFrame | None:
+    """(pattern, rank_key) of the keys that are taken in part, where more than one row has them; None if no key is."""
+    keys = rules.select("pattern", F.explode(F.array("part_key", "pick_key")).alias("rank_key")).where("rank_key IS NOT NULL")
+    many = rows.join(_small(keys, patterns), ["pattern", "rank_key"]).groupBy("pattern", "rank_key").count().where("count > 1")
+    many = materialise(many.select(F.col("pattern").alias("many_pattern"), F.col("rank_key").alias("many_key")), "mix-many")
+    return None if many.isEmpty() else many
+
+
+def _numbered(rows: DataFrame, special: DataFrame | None, patterns: int) -> DataFrame:
+    """``rows`` with ``own_nth``: the number, from 0, among the rows of its key where that key is special, else 0.
+
+    Rows are numbered within their partition, and the counts of the partitions are summed up, so that no key is gathered in one task.
+    """
+    if special is None:
+        return rows.withColumn("own_nth", F.lit(0).cast("long"))
+    met = (F.col("own_mix.pattern") == F.col("many_pattern")) & (F.col("own_mix.rank_key") == F.col("many_key"))
+    few = materialise(rows.join(_small(special, patterns), met, "left_semi"), "mix-repeats").withColumn("own_part", F.spark_partition_id())
+    key = ["own_mix.pattern", "own_mix.rank_key"]
+    counts = few.groupBy(F.col(key[0]).alias("p"), F.col(key[1]).alias("k"), F.col("own_part").alias("part")).count()
+    ahead = F.sum("count").over(Window.partitionBy("p", "k").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("p", "k", "part", F.coalesce(ahead, F.lit(0)).alias("ahead"))
+    inside = F.row_number().over(Window.partitionBy(*key, "own_part").orderBy(F.lit(0)))
+    numbered = few.withColumn("own_inside", inside).join(
+        counts, (F.col(key[0]) == F.col("p")) & (F.col(key[1]) == F.col("k")) & (F.col("own_part") == F.col("part")))
+    numbered = numbered.select(*rows.columns, (F.col("ahead") + F.col("own_inside") - 1).cast("long").alias("own_nth"))
+    rest = rows.join(_small(special, patterns), met, "left_anti").withColumn("own_nth", F.lit(0).cast("long"))
+    return rest.unionByName(numbered)
 
 
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> tuple[Column, Column]:
@@ -185,15 +223,15 @@ def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> tupl
 
 def plan_mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    weights: tuple[float, ...] = (5, 2, 1), times: int = 3, seed: int = 11, max_patterns: int = 100_000,
-) -> tuple[DataFrame, DataFrame]:
-    """The table of (doc_id, pattern, size, rank_key) and the rule of each pattern."""
+    weights: tuple[float, ...] = (5, 2, 1), times: int = 3, seed: int = 11,
+) -> tuple[DataFrame, DataFrame, DataFrame | None, int]:
+    """The table of (doc_id, pattern, size, rank_key, bucket), the rule of each pattern, the keys taken in part that several
+    rows have, and the number of patterns. The driver holds a row for each pattern."""
     pattern, size = _sized(docs, id_col, text_col, source_col)
-    sized = docs.select(F.col(id_col).alias("doc_id"), pattern.alias("pattern"), size.alias("size"))
-    sized = materialise(_bucketed(sized, seed), "mix-sizes")
-    totals = sized.groupBy("pattern").agg(F.sum("size").alias("words")).limit(max_patterns + 1).collect()
-    if len(totals) > max_patterns:
-        raise ValueError(f"more than {max_patterns} membership patterns")
+    key = _rank_key(F.col(id_col), F.col(text_col).cast("string"), seed)
+    sized = docs.select(F.col(id_col).alias("doc_id"), pattern.alias("pattern"), size.alias("size"), key.alias("rank_key"))
+    sized = materialise(sized.withColumn("bucket", F.substring("rank_key", 1, 3)), "mix-sizes")
+    totals = sized.groupBy("pattern").agg(F.sum("size").alias("words")).collect()
     spark = docs.sparkSession
     parsed = {r["pattern"]: json.loads(r["pattern"]) for r in totals}
     names = sorted({x for p in parsed.values() for x in p if x is not None}) + [None] * any(None in p for p in parsed.values())
@@ -214,20 +252,25 @@ def plan_mix(
         for r in totals
     ]
     plan = spark.createDataFrame(rows, "pattern string, pattern_size long, want long, source_size long, target double")
-    rules = selection_rules(sized, plan.select("pattern", "pattern_size", "want"), times)
-    rules = rules.join(plan, "pattern").select(F.struct("pattern", "source_size", "target", "base", "cut_key", "pick_key").alias("rule"))
-    return sized, rules
+    rules = selection_rules(sized, plan.select("pattern", "pattern_size", "want"), times, len(rows))
+    special = _special(sized, rules, len(rows))
+    rules = rules.join(plan, "pattern").select(
+        F.struct("pattern", "source_size", "target", "base", "cut_key", "part_key", "part_rows", "pick_key").alias("rule"))
+    return sized, rules, special, len(rows)
 
 
-def _decided(rows: DataFrame, rules: DataFrame) -> DataFrame:
+def _decided(rows: DataFrame, rules: DataFrame, special: DataFrame | None, patterns: int) -> DataFrame:
     """``rows`` with the struct column ``own_mix`` (pattern, size, rank_key), and ``mixed`` from the rules.
 
-    No row is moved: the decision follows from its own key and the rules of its pattern.
+    No row but those of a special key is moved: the decision follows from its own key and the rules of its pattern.
     """
-    both = rows.join(F.broadcast(rules), F.col("own_mix.pattern") == F.col("rule.pattern"), "left")
-    key = F.col("own_mix.rank_key")
-    once_more = F.coalesce(key <= F.col("rule.cut_key"), F.lit(False)) | (
-        F.coalesce(key == F.col("rule.pick_key"), F.lit(False)) & (F.col("own_mix.size") > 0))
+    both = _numbered(rows, special, patterns).join(_small(rules, patterns), F.col("own_mix.pattern") == F.col("rule.pattern"), "left")
+    key, no = F.col("own_mix.rank_key"), F.lit(False)
+    once_more = (
+        F.coalesce(key <= F.col("rule.cut_key"), no)
+        | F.coalesce((key == F.col("rule.part_key")) & (F.col("own_nth") < F.col("rule.part_rows")), no)
+        | F.coalesce((key == F.col("rule.pick_key")) & (F.col("own_nth") == 0), no)
+    )
     return both.select("*", F.struct(
         F.col("own_mix.pattern").alias("sources"), "own_mix.size", F.col("rule.source_size"), F.col("rule.target"),
         (F.col("rule.base") + once_more.cast("int")).cast("int").alias("copies"),
@@ -236,10 +279,11 @@ def _decided(rows: DataFrame, rules: DataFrame) -> DataFrame:
 
 def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 11, **options) -> DataFrame:
     """``docs`` with the struct column ``mixed`` of sources, size, source_size, target and copies."""
-    _, rules = plan_mix(docs, id_col, text_col, source_col, seed=seed, **options)
+    _, *plan = plan_mix(docs, id_col, text_col, source_col, seed=seed, **options)
     pattern, size = _sized(docs, id_col, text_col, source_col)
-    own = F.struct(pattern.alias("pattern"), size.alias("size"), _rank_key(F.col(id_col), seed).alias("rank_key"))
-    return _decided(docs.withColumn("own_mix", own), rules).select(*docs.columns, "mixed")
+    key = _rank_key(F.col(id_col), F.col(text_col).cast("string"), seed)
+    own = F.struct(pattern.alias("pattern"), size.alias("size"), key.alias("rank_key"))
+    return _decided(docs.withColumn("own_mix", own), *plan).select(*docs.columns, "mixed")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
@@ -249,8 +293,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     source_size and target are sums over them and the flow settles which quota a document serves.
     Sources in code-point order, null last, take the ``weights`` in turn.
     """
-    sized, rules = plan_mix(docs, id_col, **options)
-    return _decided(sized.select("doc_id", F.struct("pattern", "size", "rank_key").alias("own_mix")), rules).select(
+    sized, *plan = plan_mix(docs, id_col, **options)
+    return _decided(sized.select("doc_id", F.struct("pattern", "size", "rank_key").alias("own_mix")), *plan).select(
         "doc_id", "mixed.sources", "mixed.size", "mixed.source_size", "mixed.target",
         (F.col("mixed.copies") * F.col("mixed.size")).cast("long").alias("taken"), "mixed.copies",
     )
