@@ -35,7 +35,7 @@ def op4_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.archive_pages(_table(spark, sf_dir, "pages"))
-    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "timestamp", "capture")
 
 
 def op6_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,19 +71,21 @@ _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRST
 
 # Every pair of one label by its cosine, and the components of the links by a recursive walk.
 _OP1 = """
-WITH RECURSIVE v AS (
-  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
-  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+WITH RECURSIVE t AS (
+  SELECT row_number() OVER () AS r, * FROM embeddings
+), v AS (
+  SELECT r, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM t
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
 ), l AS (
-  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  SELECT a.r AS a, b.r AS b, b.vec_id AS id FROM v a JOIN v b ON a.label = b.label AND a.r <> b.r AND len(a.e) = len(b.e)
   WHERE list_cosine_similarity(a.e, b.e) >= 0.93
-), walk(a, b) AS (
-  SELECT a, b FROM l UNION SELECT walk.a, l.b FROM walk JOIN l ON walk.b = l.a
-), c AS (SELECT a, min(b) AS low FROM walk GROUP BY a), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+), walk(a, b, id) AS (
+  SELECT a, b, id FROM l UNION SELECT walk.a, l.b, l.id FROM walk JOIN l ON walk.b = l.a
+), c AS (SELECT a, min(id) AS low FROM walk GROUP BY a), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
 SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least(vec_id, coalesce(c.low, vec_id)) AS component_id,
-  vec_id <= coalesce(c.low, vec_id) AS kept
-FROM embeddings LEFT JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id
+  coalesce(vec_id <= coalesce(c.low, vec_id), true) AS kept
+FROM t LEFT JOIN c ON c.a = r LEFT JOIN n ON n.a = r
 """
 
 # The order by digests, the shard of each record's middle byte; CRC-32 by its table of 256 remainders.
@@ -130,14 +132,21 @@ FROM w LEFT JOIN s USING (r)
 """.replace("rowid AS r, doc_id", "row_number() OVER () AS r, doc_id").replace("documents_r", "documents")
 
 _OP5 = """
-WITH p AS (
-  SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS s, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top
+WITH u AS (
+  SELECT *, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS s, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top,
+    regexp_replace(coalesce(url, 'urn:page:' || coalesce(page_id::VARCHAR, '')), '#.*', '') AS link,
+    strftime(make_timestamp((coalesce(page_id, 0) % 4102444800) * 1000000), '%Y%m%d%H%M%S') AS stamp
   FROM pages
+), k AS (
+  SELECT *, regexp_extract(link, '://(?:www\\.)?([^/?]*)', 1) AS host, regexp_extract(link, '://[^/?]*(.*)$', 1) AS tail FROM u
+), p AS (
+  SELECT *, CASE WHEN contains(link, '://') THEN array_to_string(list_reverse(string_split(lower(host), '.')), ',') || ')' || CASE WHEN tail = '' THEN '/' ELSE tail END ELSE link END AS url_key FROM k
 )
 SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes,
   array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
     1 + ((('0x' || substr(s, (5 * i // 4 + 1)::BIGINT, 2))::BIGINT >> (3 - 5 * i % 4)) & 31)::BIGINT, 1)), '') AS payload_digest,
-  CASE WHEN top IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN top IS DISTINCT FROM page_id THEN top END AS refers_to
+  CASE WHEN top IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN top IS DISTINCT FROM page_id THEN top END AS refers_to,
+  url_key, stamp AS timestamp, row_number() OVER (ORDER BY encode(url_key), stamp, page_id NULLS FIRST) - 1 AS capture
 FROM p
 """
 
@@ -169,7 +178,7 @@ FROM (SELECT doc_id, coalesce(f, []) AS f FROM d LEFT JOIN s USING (r))
 _OP9 = """
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
-    md5(CASE WHEN doc_id IS NULL THEN '11' ELSE doc_id || ':11' END) AS k FROM documents
+    md5(CASE WHEN doc_id IS NULL THEN '' ELSE doc_id || ':' END || '11:' || md5(coalesce(text, ''))) AS k FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS total, [5, 2, 1][1 + ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3)] AS w FROM d GROUP BY source
 ), o AS (
@@ -183,17 +192,17 @@ t AS (
 ), q AS (
   SELECT source, total, target, CASE WHEN total = 0 THEN 0 ELSE least(floor(target + 0.5)::BIGINT // total, 3) END AS base FROM t
 ), n AS (SELECT *, CASE WHEN base >= 3 THEN 0 ELSE floor(target + 0.5)::BIGINT - base * total END AS rest FROM q),
-c AS (
-  SELECT d.doc_id, d.source, d.size, d.k, n.total, n.target, n.base, n.rest,
-    sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.size ROWS UNBOUNDED PRECEDING) AS upto
-  FROM d JOIN n ON d.source IS NOT DISTINCT FROM n.source
+e AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY k) AS r FROM d), c AS (
+  SELECT e.doc_id, e.source, e.size, e.k, e.r, n.total, n.target, n.base, n.rest,
+    sum(e.size) OVER (PARTITION BY e.source ORDER BY e.r ROWS UNBOUNDED PRECEDING) AS upto
+  FROM e JOIN n ON e.source IS NOT DISTINCT FROM n.source
 ), g AS (SELECT source, any_value(rest) - coalesce(sum(size) FILTER (upto <= rest), 0) AS gap FROM c GROUP BY source),
 b AS (
-  SELECT c.source, first(c.k ORDER BY abs(g.gap - c.size), c.k) AS k FROM c JOIN g ON c.source IS NOT DISTINCT FROM g.source
+  SELECT c.source, first(c.r ORDER BY abs(g.gap - c.size), c.r) AS r FROM c JOIN g ON c.source IS NOT DISTINCT FROM g.source
   WHERE c.upto > c.rest AND c.size > 0 AND abs(g.gap - c.size) < g.gap GROUP BY c.source
 )
 SELECT c.doc_id, c.size, c.total AS source_size, round(c.target, 6)::DOUBLE AS target,
-  (c.size * (c.base + CASE WHEN c.upto <= c.rest OR (c.size > 0 AND c.k = b.k) THEN 1 ELSE 0 END))::BIGINT AS taken
+  (c.size * (c.base + CASE WHEN c.upto <= c.rest OR (c.size > 0 AND c.r = b.r) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM c LEFT JOIN b ON c.source IS NOT DISTINCT FROM b.source
 """
 

@@ -12,7 +12,8 @@ every key range is merged from its runs by a loser tree, which gives one global
 order of captures: ``(part, place)``.
 
 Cases: a null html is an empty payload; a null url becomes ``urn:page:<id>``;
-line breaks in a url are percent-coded; repeated pages are captures of their own.
+blanks and controls in a url are percent-coded, so that the blank
+that ends a field of a sort key is below all that a field holds; repeated pages are captures of their own.
 A page without an id has no ``X-Page`` field and comes first of its url and time;
 it revisits the page of largest id with its payload, and is a response where no
 page with that payload has an id.
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -37,16 +39,24 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def sha1_base32(payload: str) -> Column:
-    @F.pandas_udf("string")
-    def hashed(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: base64.b32encode(hashlib.sha1(t.encode("utf-8", "surrogatepass")).digest()).decode())
+    """The SHA-1 of a text's bytes in base 32: five hex digits are four of its letters."""
+    bits = "cast(conv(substring(h, 5 * (i div 4) + 1, 5), 16, 10) as int)"
+    letter = f"substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (shiftright({bits}, 15 - 5 * (i % 4)) & 31), 1)"
+    return F.expr(f"element_at(transform(array(sha1({payload})), h -> array_join(transform(sequence(0, 31), i -> {letter}), '')), 1)")
 
-    return hashed(F.col(payload))
+
+def plain_url(url: str) -> Column:
+    """A url with its blanks and controls percent-coded."""
+    coded = f"array_join(transform(split({url}, ''), c -> if(c <= ' ' or c = '\\u007f', concat('%', lpad(hex(ascii(c)), 2, '0')), c)), '')"
+    return F.expr(f"if({url} rlike '[\\\\x00-\\\\x20\\\\x7F]', {coded}, {url})")
+
+
+_UNSAFE = re.compile(r"[\x00-\x20\x7f]")
 
 
 def url_key(url: str) -> str:
     """Sort-friendly form: the host's labels reversed, then path and query, without scheme and fragment."""
-    rest = url.split("#", 1)[0]
+    rest = _UNSAFE.sub(lambda m: f"%{ord(m[0]):02X}", url).split("#", 1)[0]
     if "://" not in rest:
         return rest
     rest = rest.split("://", 1)[1]
@@ -79,7 +89,7 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         F.lit("WARC/1.1\r\n"),
         line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
         line("WARC-Record-ID", F.concat(F.lit("<urn:uuid:"), uid(F.col("page_id")), F.lit(">"))),
-        line("WARC-Target-URI", F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")),
+        line("WARC-Target-URI", plain_url("url")),
         line("WARC-Date", F.date_format(F.timestamp_seconds(F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(4102444800))), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest")),
         F.when(revisit, F.concat(
@@ -197,8 +207,9 @@ class LoserTree:
             self._play(i)
 
 
-def merge_index(entries: DataFrame, range_rows: int = 20_000, oversample: int = 16, seed: int = 3) -> DataFrame:
-    """``entries`` in one global order: with ``part`` (key range) and ``place`` in it."""
+def merge_index(entries: DataFrame, range_rows: int = 100_000, oversample: int = 8, seed: int = 3) -> DataFrame:
+    """``entries`` in one global order by URL key, timestamp and page: with ``part`` (key range), ``place`` in it and
+    ``capture``, its place among all. The driver holds ``oversample`` sampled keys and a count for each ``range_rows`` entries."""
     entries = materialise(entries, "warc-runs")
     n = entries.count()
     want = max(1, -(-n // range_rows))
@@ -219,8 +230,16 @@ def merge_index(entries: DataFrame, range_rows: int = 20_000, oversample: int =
         order = np.fromiter((rows_of[i][j] for i, j, _ in tree), np.int64, len(held))
         return held.take(pa.array(order)).append_column("place", pa.array(np.arange(len(held), dtype="int32")))
 
-    dealt = entries.withColumn("part", part("sort_key")).repartition("part")
-    return dealt.groupBy("part").applyInArrow(merge, ENTRY + ", part int, place int")
+    dealt = entries.withColumn("part", part("sort_key"))
+    sizes = {r["part"]: r["count"] for r in dealt.groupBy("part").count().collect()}
+    ahead = np.concatenate([[0], np.cumsum([sizes.get(i, 0) for i in range(len(splitters) + 1)])])
+
+    def numbered(held: pa.Table) -> pa.Table:
+        out = merge(held)
+        first = int(ahead[held["part"][0].as_py()])
+        return out.append_column("capture", pa.array(np.arange(first, first + len(out), dtype="int64")))
+
+    return dealt.repartition("part").groupBy("part").applyInArrow(numbered, ENTRY + ", part int, place int, capture long")
 
 
 def archive_pages(pages: DataFrame, path: str | None = None, archive_bytes: int = 8 << 20, **columns) -> DataFrame:
