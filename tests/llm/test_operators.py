@@ -86,11 +86,29 @@ def test_simhash(table, docs):
     got = simhash.simhash_groups(table, block=4).collect()
     fps = {(d, plain_fingerprint(t)) for d, t, *_ in docs}
     assert Counter((r.doc_id, int(r.fingerprint, 16)) for r in got) == Counter((d, plain_fingerprint(t)) for d, t, *_ in docs)
-    held = sorted((d, f) for d, f in fps if d is not None)
-    comp = components(held, lambda a, b: bin(a[1] ^ b[1]).count("1") <= 3 or a[0] == b[0])
-    for r in got:
-        if r.doc_id is not None:
-            assert r.component_id == comp[r.doc_id, int(r.fingerprint, 16)][0]
+    comp = components(sorted({f for _, f in fps}), lambda a, b: bin(a ^ b).count("1") <= 3)
+    low = {}
+    for d, f in fps:
+        if d is not None:
+            low[comp[f]] = min(d, low.get(comp[f], d))
+    assert all(r.component_id == low.get(comp[int(r.fingerprint, 16)]) for r in got)
+
+
+def test_simhash_links_through_rows_without_an_id(spark):
+    nodes = spark.createDataFrame([(0, 1), (7, None), (0x3F, 3), (1 << 40, None)], "fp long, low long")
+    comps = connected_components(simhash.near_links(nodes))
+    got = {r.class_fp: r.component_id for r in simhash.smallest_ids(nodes, comps).collect()}
+    assert got == {0: 1, 7: 1, 0x3F: 1, 1 << 40: 1}
+    lone = spark.createDataFrame([(-1, None), (-2, None), (5, 9)], "fp long, low long")
+    got = simhash.smallest_ids(lone, connected_components(simhash.near_links(lone)))
+    assert {r.class_fp: r.component_id for r in got.collect()} == {-1: None, -2: None, 5: 9}
+
+
+def test_simhash_of_a_very_long_text():
+    rng = random.Random(7)
+    text = noise(rng, 150_000, 4000)
+    assert simhash.fingerprint(text) == plain_fingerprint(text)
+    assert simhash.fingerprint(" x" + " " * 600_000 + "Y ") == plain_fingerprint("x y")
 
 
 def test_covering_masks_miss_no_pair():
@@ -222,6 +240,7 @@ def test_warc(spark, tmp_path):
     rows = [(i, f"http://h{i % 5}.example.org/p/{rng.randrange(9)}", f"<html>{rng.randrange(12)} \r\n\r\nWARC/1.1\r\n é</html>") for i in range(90)]
     rows += [(None, "http://h1.example.org/", f"<html>{n}</html>") for n in ("no id", "no id", "held too")] + [((1 << 62) + 1, None, "<html>held too</html>"), (None, None, None)]
     rows += [(200, None, None), (201, "https://a.example.com:8443/x?y#z", ""), (202, "u\r\nv", "x" * 300_000)]
+    rows += [(300 + i, "http://b.org/a" + tail, f"t{i}") for i, tail in enumerate(("", " b", "!", "\t", "~", " ", "%", "\x01x"))]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'q' AS digest", "1 AS bytes", "2 AS keeper", "3 AS n")
     index = warc.archive_pages(pages, f"file://{tmp_path}/w", archive_bytes=4000)
     got = index.collect()
@@ -239,8 +258,10 @@ def test_warc(spark, tmp_path):
             f.seek(r.offset)
             assert f.read(r.length).startswith(b"WARC/1.1\r\n")
     assert len(got) == len(rows)
-    order = [r.sort_key for r in sorted(got, key=lambda r: (r.part, r.place))]
-    assert order == sorted(order)
+    placed = sorted(got, key=lambda r: (r.part, r.place))
+    order = [r.sort_key for r in placed]
+    captures = [(r.url_key, r.timestamp, -1 if r.page_id is None else r.page_id) for r in placed]
+    assert captures == sorted(captures) and [r.capture for r in placed] == list(range(len(rows)))
     small = warc.merge_index(warc.read_archives(spark, f"file://{tmp_path}/w"), range_rows=7)
     assert [r.sort_key for r in small.orderBy("part", "place").collect()] == order
     assert warc.archive_pages(pages.limit(0), f"file://{tmp_path}/none").count() == 0
@@ -295,15 +316,21 @@ def test_secret_ledger_scans_unseen_pairs_only(spark, tmp_path):
     rows = secret_rows()
     first = spark.createDataFrame(rows[:5], "doc_id long, text string")
     secrets.find_secrets(first, ledger=path, rules=secrets.RULES[:2]).count()
-    assert spark.read.parquet(f"{path}/seen").count() == 10
+    assert spark.read.parquet(path).where("spans IS NULL").count() == 10
     every = spark.createDataFrame(rows, "doc_id long, text string")
     got = secrets.digest(secrets.find_secrets(every, ledger=path))
-    seen = spark.read.parquet(f"{path}/seen")
+    seen = spark.read.parquet(path).where("spans IS NULL")
     blobs = len({(t or "") for _, t in rows})
     assert seen.count() == seen.distinct().count() == blobs * len(secrets.RULES)
     assert {(r.doc_id, r.spans) for r in got.collect()} == {(d, ",".join(f"{k}:{s}:{e}" for s, _, k, e in plain_spans(t))) for d, t in rows}
+    scanned = seen.count()
+    want = sorted(map(repr, got.collect()))
     secrets.find_secrets(every, ledger=path).count()
-    assert spark.read.parquet(f"{path}/seen").count() == seen.count()
+    assert spark.read.parquet(path).where("spans IS NULL").count() == scanned
+    # two runs at once, or one cut short and run again, leave rows twice: results stay
+    spark.read.parquet(path).write.parquet(f"{path}-twice")
+    spark.read.parquet(path).write.mode("append").parquet(f"{path}-twice")
+    assert sorted(map(repr, secrets.digest(secrets.find_secrets(every, ledger=f"{path}-twice")).collect())) == want
 
 
 def test_mask_secrets(spark):
@@ -367,6 +394,37 @@ def test_near_vectors(spark, block):
     assert vectors.near_vectors(df.limit(0)).count() == 0
 
 
+def test_near_vectors_of_repeated_rows_and_ids(spark):
+    """Rows are vectors of their own, whatever ids they share, and vectors of very many lengths are met."""
+    rng = np.random.default_rng(3)
+    rows = [(7, [1.0, 0.0, 0.0], 1), (7, [0.0, 1.0, 0.0], 1), (8, [0.0, 1.0, 0.05], 1), (9, [1.0, 0.0, 0.0], 2), (5, [2.0, 0.0, 0.0], 2), (5, [2.0, 0.0, 0.0], 2), (None, [2.0, 0.0, 0.0], 2)]
+    rows += [(100 + 2 * n + i, rng.normal(size=n).tolist() if i == 0 else [1.0] * n, 0) for n in range(1, 60) for i in range(2)]
+    rows += [(500 + n, [3.0] * n, 0) for n in range(2, 60, 7)]
+    linked = lambda a, b: None not in (a[0], b[0]) and a[2] == b[2] and cosine(a[1], b[1]) >= 0.93
+    at = list(range(len(rows)))
+    comp = components(at, lambda a, b: linked(rows[a], rows[b]))
+    links = [sum(linked(rows[a], rows[b]) for b in at if b != a) for a in at]
+    low = {c: min((rows[a][0] for a in at if comp[a] == c and rows[a][0] is not None), default=None) for c in comp.values()}
+    want = Counter((rows[a][0], links[a], low[comp[a]], True if rows[a][0] is None else rows[a][0] == low[comp[a]]) for a in at)
+    for per_cell in (1, 4096):
+        assert Counter(map(tuple, vectors.near_vectors(spark.createDataFrame(rows, VEC), per_cell=per_cell).collect())) == want
+
+
+def test_nearest_of_repeated_queries(spark):
+    """A row that is repeated is one; each of several vectors under one id asks for itself and is a candidate of the others."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(60, 6))
+    rows = [(i, x[i].tolist()) for i in range(1, 40)] + [(50, x[50].tolist())] * 3 + [(100, x[51].tolist()), (100, x[52].tolist()), (7, x[7].tolist())]
+    distinct = list(dict.fromkeys((v, tuple(map(float, np.array(e, "float32")))) for v, e in rows))
+    want = Counter()
+    for q in distinct:
+        if q[0] % 50 == 0:
+            near = sorted((-round(cosine(q[1], c[1]), 9), c[0]) for c in distinct if c is not q)[:5]
+            want.update((q[0], n + 1, v, s) for n, (s, v) in enumerate(near))
+    got = vectors.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), share=1.0).collect()
+    assert Counter((r.query_id, r.rank, r.vec_id, -round(r.score, 9)) for r in got) == want
+
+
 def test_multi_sequence_visits_by_cost():
     rng = np.random.default_rng(1)
     a, b = rng.random(6), rng.random(7)
@@ -432,6 +490,32 @@ def test_mix(table, docs, nothing):
     assert mixing.mix(nothing).count() == 0
 
 
+@pytest.mark.parametrize("rows", [
+    [(None, "one two three four five", "a")] * 200 + [(i, "x y z " * 5, "b") for i in range(100)],
+    [(1, "a b", "a")] * 500 + [(2, None, "a"), (3, "q " * 11, "b"), (3, "r " * 7, "b")],
+    [(i, "w " * (i % 9), f"s{i % 7}") for i in range(300)] + [(5, "w " * 4, "s2")] * 40,
+])
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_mix_shares_repeated_rows(spark, monkeypatch, rows, broadcast):
+    """Null, equal and repeated ids: each source's words come within half its largest document of the target."""
+    monkeypatch.setattr(mixing, "BROADCAST", broadcast)
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mixing.mix(df).collect()
+    by, biggest = Counter(), Counter()
+    for _, t, s in rows:
+        by[s] += len((t or "").split())
+        biggest[s] = max(biggest[s], len((t or "").split()))
+    names = sorted(by)
+    targets = dict(zip(names, mixing.water_fill([by[x] for x in names], [(5, 2, 1)[i % 3] for i in range(len(names))]), strict=True))
+    taken = Counter()
+    for r in got:
+        assert r.taken <= 3 * r["size"]
+        taken[eval(r.sources)[0]] += r.taken
+    assert len(got) == len(rows) and all(abs(taken[x] - targets[x]) <= biggest[x] / 2 + 1 for x in names)
+    again = sum((r.mixed.copies * [(r.doc_id, r.text)] for r in mixing.take(df).collect()), [])
+    assert Counter(d for d, _ in again) == sum((Counter({r.doc_id: r.copies}) for r in got if r.copies), Counter())
+
+
 def test_water_fill():
     assert mixing.water_fill([100, 100, 100], [5, 2, 1]) == [187.5, 75.0, 37.5]
     got = mixing.water_fill([10, 1000, 1000], [5, 2, 1])
@@ -455,6 +539,56 @@ def test_route_shares_overlapping_sources(spark):
 # ------------------------------------------------------------------ 10
 
 
+def plain_language(rows, orders=3, per=40, ridge=0.1):
+    """Presence kernels over sets of n-grams and a dense ridge on the same landmarks; the model's (landmarks, rows) come first in each language."""
+
+    def gram_set(text):
+        folded = re.sub(r"[^\W\d_]", lambda m: m[0].lower(), text or "")
+        letters = re.sub(r"(?:[\W\d_])+", " ", folded)
+        letters = f" {letters.strip()} "
+        return {letters[i : i + n] for n in range(1, orders + 1) for i in range(len(letters) - n + 1)}
+
+    sets = {t: gram_set(t) for _, t, _ in rows}
+    kernel = lambda a, b: len(sets[a] & sets[b]) / math.sqrt(len(sets[a]) * len(sets[b]))
+    return sets, kernel
+
+
+def test_language_equals_a_plain_kernel(spark):
+    """With many places for n-grams hashing loses nothing: kernels equal those of sets, and predictions those of a dense ridge."""
+    rng = random.Random(11)
+    parts = {"aa": ["ka", "to", "mi", "ru"], "bb": ["schl", "ung", "keit", "der"]}
+    rows = [(i, " ".join("".join(rng.choice(parts[g]) for _ in range(3)) for _ in range(rng.randrange(3, 20))), g) for i in range(60) for g in [rng.choice("aa bb".split())]]
+    sets, kernel = plain_language(rows)
+    for _, t, _ in rows:
+        assert len(langid.presence(t, 22, 3)) == len(sets[t])
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df, bits=16, per_lang=100, landmarks=100)
+    # all rows are landmarks: the features are exact and the weights are those of kernel ridge in its dual form
+    texts, langs = [t for _, t, _ in rows], [g for *_, g in rows]
+    k = np.array([[kernel(a, b) for b in texts] for a in texts])
+    share = np.array([len(langs) / 2 / langs.count(g) for g in langs])
+    values, vectors_ = np.linalg.eigh(k)
+    root = vectors_ * (1 / np.sqrt(np.maximum(values, 1e-6))) @ vectors_.T
+    z = k @ root
+    y = np.array([[g == x for x in ("aa", "bb")] for g in langs], float)
+    beta = np.linalg.solve(0.1 * np.eye(len(rows)) + z.T @ (share[:, None] * z), z.T @ (share[:, None] * y))
+    scores = z @ beta
+    got = {r.doc_id: r.language for r in langid.predict(df, model).collect()}
+    for i, (d, *_rest) in enumerate(rows):
+        best = scores[i].argmax()
+        assert got[d].lang_pred == ("aa", "bb")[best] and abs(got[d].score - min(1, max(0, scores[i][best]))) < 0.02
+
+
+def test_language_of_a_very_long_text(monkeypatch):
+    rng = random.Random(2)
+    text = "".join(rng.choice("abcß é1 .\n ") for _ in range(5000))
+    whole = langid.presence(text, 14, 3)
+    for size in (1, 2, 3, 7, 1000):
+        monkeypatch.setattr(langid, "SLICE", size)
+        assert np.array_equal(langid.presence(text, 14, 3), whole)
+    assert langid.presence("12 .", 14, 3) is None
+
+
 def test_language(spark):
     rng = random.Random(6)
     syllables = {"aa": ["ka", "to", "mi", "ru"], "bb": ["schl", "ung", "keit", "der"], "cc": ["eau", "ont", "ié", "oux"]}
