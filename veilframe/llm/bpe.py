@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -113,6 +114,16 @@ def encode_documents(
     return brief.unionByName(_encode_long(src.where(F.length("t") > chunk), ranks_path, key_type, chunk, overlap, finished, out))
 
 
+def packed(ids: np.ndarray) -> bytes:
+    """Ids as compressed bytes, two of each where they fit."""
+    small = not len(ids) or ids.max() < 1 << 16
+    return (b"2" if small else b"4") + zlib.compress(ids.astype("<u2" if small else "<i4").tobytes(), 1)
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(blob[1:]), "<u2" if blob[:1] == b"2" else "<i4").astype(np.int64)
+
+
 def _encode_long(src, ranks_path, key_type, chunk, overlap, finished, out) -> DataFrame:
     """The chunked way, for the rows of ``src``; the chunks are a table in the shared folder."""
     cut = (
@@ -148,28 +159,30 @@ def _encode_long(src, ranks_path, key_type, chunk, overlap, finished, out) -> Da
             head = k if s is not None else head
             heads.append(head)
         ends = [*starts[1:], -1]
-        return pd.DataFrame({"rid": pdf["rid"].to_numpy(), "k": pdf["k"].to_numpy(), "head": heads, "from": starts, "to": ends})
-
-    met = cut.repartition("rid", "k").mapInPandas(marks, "rid long, k int, at long, ends binary")
-    plan = met.groupBy("rid").applyInPandas(stitch, "rid long, k int, head int, from long, to long")
-    pieces = (
-        cut.join(plan, ["rid", "k"])
-        .withColumn("piece", F.expr("substring(part, cast(from - lo + 1 as int), cast(if(to < 0, length(part), to - from) as int))"))
-        .groupBy("rid", "doc_id", "head")
+        _, place, times = np.unique(heads, return_inverse=True, return_counts=True)
+        return pd.DataFrame({"rid": pdf["rid"].to_numpy(), "k": pdf["k"].to_numpy(), "head": heads, "from": starts, "to": ends, "alone": times[place] == 1})
+
+    met = cut.mapInPandas(marks, "rid long, k int, at long, ends binary")  # the table's rows are dealt already; no text is moved
+    plan = materialise(met.groupBy("rid").applyInPandas(stitch, "rid long, k int, head int, from long, to long, alone boolean"), "bpe-plan")
+    cuts = cut.join(plan, ["rid", "k"]).select(
+        "rid", "doc_id", "head", "k", "alone", F.expr("substring(part, cast(from - lo + 1 as int), cast(if(to < 0, length(part), to - from) as int))").alias("piece"))
+    runs = (  # chunks without a seam between them: the only texts that are moved
+        cuts.where("NOT alone").groupBy("rid", "doc_id", "head")
         .agg(F.array_sort(F.collect_list(F.struct("k", "piece"))).alias("run"))
         .select("rid", "doc_id", "head", F.expr("array_join(transform(run, x -> x.piece), '')").alias("piece"))
     )
+    pieces = cuts.where("alone").select("rid", "doc_id", "head", "piece").unionByName(runs)
 
     def encode(batches):
         enc = encoder(ranks_path)
         for pdf in batches:
-            ids = [np.asarray(encode_text(enc, t), "<i4").tobytes() for t in pdf["piece"]]
+            ids = [packed(np.asarray(encode_text(enc, t), "<i4")) for t in pdf["piece"]]
             yield pd.DataFrame({"rid": pdf["rid"], "doc_id": pdf["doc_id"].astype(object), "head": pdf["head"], "ids": ids})
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("head")
         doc = pdf["doc_id"].iloc[0]
-        return finished([(None if pd.isna(doc) else doc, np.frombuffer(b"".join(pdf["ids"]), "<i4").tolist())])
+        return finished([(None if pd.isna(doc) else doc, np.concatenate([unpacked(b) for b in pdf["ids"]]).tolist())])
 
     done = pieces.mapInPandas(encode, f"rid long, doc_id {key_type}, head int, ids binary")
     return done.groupBy("rid").applyInPandas(join, out)
