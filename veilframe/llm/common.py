@@ -28,7 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Rows of one Arrow batch at most: whole texts of any length go through Python, so a batch is kept small.
-BATCH_ROWS = 1000
+BATCH_ROWS = 250
 
 
 def small_batches(spark: SparkSession) -> None:

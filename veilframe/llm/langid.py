@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 UND = "und"
 #: Characters of a text that are worked on at once.
-SLICE = 1 << 20
+SLICE = 1 << 16
 
 
 @functools.lru_cache(maxsize=1)
@@ -188,7 +188,7 @@ def least_scores(
     counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
     u = F.xxhash64(F.lit(seed), "t").bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)
     drawn = rows.join(F.broadcast(counts), "lang").where(u < per_lang / F.col("rows")).distinct()
-    words = F.split(F.trim("t"), "\\s+")
+    words = F.split(F.left(F.trim("t"), F.lit(64 * CUTS[-1])), "\\s+")  # only first words are wanted, of texts of any length
     cuts = F.array(F.col("t"), *[F.array_join(F.slice(words, 1, k), " ") for k in CUTS])
     scored = predict(drawn.select("lang", F.explode(F.array_distinct(cuts)).alias("t")), model, "t")
     right = scored.where("language.lang_pred = lang").select("lang", F.length(F.bin(F.col("language.grams").cast("long"))).alias("size"), "language.score")
