@@ -139,6 +139,52 @@ def _encode_long(src, ranks_path, key_type, chunk, overlap, finished, out) -> Da
     )
     cut = materialise(cut, "bpe-chunks")
 
+    def encode_chunk(enc, r) -> tuple:
+        """Ids from the first boundary where the chunk meets the one before it up to its seam with the next, which it finds
+        itself, as its text holds all that the next one's first boundaries come from; how many ids stand before each of the first
+        boundaries tells what the chunk before has encoded already."""
+        ends = boundaries(r.part, r.k == r.n - 1) + r.lo
+        first = ends[ends <= r.at + overlap] if r.k else np.zeros(1, np.int64)
+        seam = r.lo + len(r.part)
+        if r.k < r.n - 1:
+            nxt = r.at + chunk - overlap
+            met = np.intersect1d(ends, boundaries(r.part[nxt - r.lo :], False) + nxt, assume_unique=True)
+            seam = int(met[0]) if len(met) else -1
+        if seam < 0 or not len(first):
+            return r.rid, r.doc_id, r.k, -1, b"", b"", b""
+        ids, ahead = [], []
+        for x, y in zip(first, [*first[1:], seam], strict=True):
+            ahead.append(len(ids))
+            ids += encode_text(enc, r.part[x - r.lo : y - r.lo]) if y > x else []
+        return r.rid, r.doc_id, r.k, seam, first.astype("<i8").tobytes(), np.array(ahead, "<i8").tobytes(), packed(np.asarray(ids, "<i4"))
+
+    def chunks(batches):
+        enc = encoder(ranks_path)
+        for pdf in batches:
+            rows = [encode_chunk(enc, r) for r in pdf.itertuples(index=False)]
+            yield pd.DataFrame(rows, columns=["rid", "doc_id", "k", "seam", "first", "ahead", "ids"]).astype({"doc_id": object})
+
+    schema = f"rid long, doc_id {key_type}, k int, seam long, first binary, ahead binary, ids binary"
+    held = materialise(cut.mapInPandas(chunks, schema), "bpe-ids")
+
+    def stitched(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("k")
+        out, start = [], 0
+        for seam, first, ahead, ids in zip(pdf["seam"], pdf["first"], pdf["ahead"], pdf["ids"], strict=True):
+            at = np.searchsorted(np.frombuffer(first, "<i8"), start)
+            out.append(unpacked(ids)[np.frombuffer(ahead, "<i8")[at] :])
+            start = seam
+        doc = pdf["doc_id"].iloc[0]
+        return finished([(None if pd.isna(doc) else doc, np.concatenate(out).tolist())])
+
+    apart = materialise(held.where("seam < 0").select("rid").distinct(), "bpe-unseamed")
+    done = held.join(apart, "rid", "left_anti").groupBy("rid").applyInPandas(stitched, out)
+    return done.unionByName(_encode_unseamed(cut.join(apart, "rid", "left_semi"), ranks_path, key_type, chunk, overlap, finished, out))
+
+
+def _encode_unseamed(cut, ranks_path, key_type, chunk, overlap, finished, out) -> DataFrame:
+    """The few texts of which two neighbours share no boundary: chunks are joined up to the next seam and encoded with it."""
+
     def marks(batches):
         """Boundaries of each chunk where it meets its neighbours."""
         for pdf in batches:
