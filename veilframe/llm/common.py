@@ -72,6 +72,13 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialise`` wrote, once all that reads them is itself written."""
+    for table in tables:
+        for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            drop_path(table.sparkSession, path)
+
+
 def hash_order(seed: int, *cols: Column) -> Column:
     """A seeded 64-bit order key of the values, equal on every run."""
     return F.xxhash64(F.lit(seed), *cols)
