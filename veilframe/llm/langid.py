@@ -166,7 +166,9 @@ def predict(docs: DataFrame, model: KernelModel, text_col: str = "text", batch:
         return pd.DataFrame({"lang_pred": pred, "score": conf, "grams": grams})
 
     score.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
-    scored: Column = F.pandas_udf(score, "lang_pred string, score double, grams int")(F.col(text_col).cast("string"))
+    # the mark keeps a filter on the prediction above it: pushed below, it would have every text scored twice, by two workers
+    once = F.pandas_udf(score, "lang_pred string, score double, grams int").asNondeterministic()
+    scored: Column = once(F.col(text_col).cast("string"))
     return docs.withColumn("language", scored)
 
 
