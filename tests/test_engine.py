@@ -13,6 +13,7 @@ from veilframe.operators.detectors import DEFAULT_ENABLED, DETECTORS, Detector,
 from veilframe.operators.names import find_names
 from veilframe.operators.resolve import MATCH, overlapping, resolve_overlaps
 from veilframe.operators.tokens import assign, hash32, restore
+from veilframe.plans import queries
 from veilframe.options import Options, Rule
 from veilframe.plans import engine, queries
 from veilframe.plans.cases import CLEAN, DETECTOR_CASES
@@ -299,3 +300,10 @@ def test_one_token_over_a_corpus(spark):
 def test_assign_avoids_tokens_in_the_text():
     m = {"start": 8, "end": 14, "value": "a@x.io", "confidence": 1.0, "detector": "email", "risk": "high", "type": "EMAIL", "entity": None, "part": None}
     assert assign("email_1 a@x.io", [m], Options())[0] == "email_1 [EMAIL_2]"
+
+
+def test_exposure_counts_every_address(spark, tmp_path):
+    rows = [(100 * s + i, f"s{s}" if s else None, " ".join(f"a{s}x{i}x{j}@x.org" for j in range(i % 3 * 10))) for s in range(12) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id int, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.source: (r.addresses, r.median_hits) for r in queries.approximate_exposure(spark, f"file://{tmp_path}").collect()}
+    assert got == {f"s{s}" if s else None: (600, 20) for s in range(12)}
