@@ -307,3 +307,16 @@ def test_exposure_counts_every_address(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id int, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.source: (r.addresses, r.median_hits) for r in queries.approximate_exposure(spark, f"file://{tmp_path}").collect()}
     assert got == {f"s{s}" if s else None: (600, 20) for s in range(12)}
+
+
+@pytest.mark.parametrize("text,value", [
+    ("at +1 (608) 555-2280 37.92.178.161 in", "+1 (608) 555-2280"),
+    ("at +1 (608) 555-2280 37.92.1.5 in", "+1 (608) 555-2280"),
+    ("at +1 608 555 2280 4078918989542222", "+1 608 555 2280"),
+    ("at +44 20 7946 0958 37.92.178.161.", "+44 20 7946 0958"),
+    ("at +33 1.23.45.67.89 or", "+33 1.23.45.67.89"),
+    ("at +49 30 1234 5678 9012 345 6789", "+49 30 1234 5678"),
+])
+def test_a_telephone_ends_before_what_follows_it(spark, text, value):
+    found = spark.createDataFrame([(text,)], "t string").select(detect_column(F.col("t"), "phone").alias("m")).first().m
+    assert value in [m.value for m in found] and not any(len(m.value) > len(value) for m in found)

@@ -203,7 +203,13 @@ _HOST = (
 )
 # ITU-T E.123: a plus, the country, an area perhaps in parentheses, groups; the North American and British plans.
 _SEP = f"[{WSC}.-]?"
-_ABROAD = f"(?<![A-Za-z0-9_.])\\+[0-9]{{1,3}}(?:{_SEP}\\([0-9]{{1,4}}\\))?{_SEP}[0-9]{{1,4}}(?:{_SEP}[0-9]{{2,4}}){{1,4}}{RIGHT}"
+# Numbers under +1 have ten more digits; others end by the 15th, and no address of dotted octets after a blank is their end.
+_OCTETS = r"(?![0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9]))"
+_HOME = f"1{_SEP}(?:\\([0-9]{{3}}\\)|[0-9]{{3}}){_SEP}[0-9]{{3}}{_SEP}[0-9]{{4}}{RIGHT}"
+_ABROAD = (
+    f"(?<![A-Za-z0-9_.])\\+(?:{_HOME}|[0-9]{{1,3}}(?:{_SEP}\\([0-9]{{1,4}}\\))?{_SEP}[0-9]{{1,4}}"
+    f"(?:(?:[.-]?|{WS}{_OCTETS})[0-9]{{2,4}}){{1,4}}{RIGHT}(?<!{'[0-9][^0-9+]{0,2}' * 16}))"
+)
 _NANP = f"(?<![A-Za-z0-9_.-])(?:[2-9][0-9]{{2}}|\\([2-9][0-9]{{2}}\\)){_SEP}[2-9][0-9]{{2}}{_SEP}[0-9]{{4}}(?![0-9-])"
 _TRUNK = f"0(?<![A-Za-z0-9_.]0)[0-9]{{2,4}}[{WSC}-][0-9]{{3,4}}[{WSC}-]?[0-9]{{3,4}}{RIGHT}"
 # Kinds of streets and of units by the postal handbooks, with their short forms; months; VAT countries.
